@@ -27,3 +27,33 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES):
 def _sizes(texts: pa.Array) -> np.ndarray:
     large = texts.cast(pa.large_string())
     return np.diff(np.frombuffer(large.buffers()[1], dtype=np.int64)[large.offset : large.offset + len(large) + 1])
+
+
+def whole_groups(batches, keys: list[int]):
+    """From batches sorted by `keys`, tables that hold whole groups only; what is carried over is one group at most.
+
+    For bounded groups only: callers route larger ones another way.
+    """
+    carry = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([b])])
+        change = changes(t, keys)
+        if not len(change):
+            carry = t
+            continue
+        last = int(change[-1])
+        yield t.slice(0, last).combine_chunks()
+        carry = t.slice(last).combine_chunks()
+    if carry is not None and carry.num_rows:
+        yield carry.combine_chunks()
+
+
+def changes(t: pa.Table, keys: list[int]) -> np.ndarray:
+    """Rows whose key differs from the row before."""
+    differs = np.zeros(max(0, t.num_rows - 1), bool)
+    for k in keys:
+        v = t.column(k).to_numpy()
+        differs |= v[1:] != v[:-1]
+    return np.flatnonzero(differs) + 1
