@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..shipping import ship
 from .batches import slices
@@ -210,7 +211,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: l
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], lists, pa.array(counts)], names=[*keep, "input_ids", "n_tokens"])
 
-    schema = rows.select(keep).schema.add("input_ids", "array<int>").add("n_tokens", "long")
+    schema = rows.select(keep).schema.add("input_ids", ArrayType(IntegerType())).add("n_tokens", "long")
     return rows.mapInArrow(run, schema)
 
 
