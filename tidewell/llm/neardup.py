@@ -256,7 +256,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     # With one block there is one unit (0, 0); with more, a block meets every other, and itself by way of its neighbours' units.
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     member = member.select("rep", "c1", "c2", "cluster", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    units = rows.join(member, F.col("doc_id") == F.col("rep")).select("cluster", "bi", "bj", "rep", "c1", "c2", "block", "text")
+    # Always by exchange: members grow with the corpus, so a plan that broadcasts them on small inputs says nothing about large ones.
+    units = rows.join(member.hint("merge"), F.col("doc_id") == F.col("rep")).select("cluster", "bi", "bj", "rep", "c1", "c2", "block", "text")
     links = units.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "rep").mapInArrow(_confirm(threshold), "a long, b long")
     comp = components(links)
     free_shuffles(spark)
