@@ -17,7 +17,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     drop_scratch(spark)
     judged = classifier.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     good = judged.groupBy(F.col("doc_id").alias("_tw_id")).agg(F.max("predicted").alias("_tw_good")).where("_tw_good = 1")
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("_tw_id")), "left_semi")
+    return docs.join(good.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_tw_id")), "left_semi")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +33,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id; a repeated row of it goes too."""
     drop_scratch(spark)
     kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_tw_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_tw_id")), "left_semi")
+    return docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_tw_id")), "left_semi")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; one of no copies goes."""
     drop_scratch(spark)
     copies = mixing.mix(docs).groupBy(F.col("doc_id").alias("_tw_id")).agg(F.max("copies").alias("_tw_copies")).where("_tw_copies > 0")
-    both = docs.join(copies, F.col("doc_id").cast("long").eqNullSafe(F.col("_tw_id")))
+    both = docs.join(copies.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_tw_id")))
     return both.withColumn("_tw_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_tw_copies")))).select(*[docs[c] for c in docs.columns])
 
 

@@ -71,7 +71,8 @@ def dedup_lines(docs: DataFrame, site: str = "source", spread: int = SPREAD, min
     gone = cut(removals(docs, site, spread, min_words), "gone").withColumnRenamed("doc_id", "_tw_id").withColumnRenamed("gone", "_tw_gone")
     free_shuffles(docs.sparkSession)
     keep = docs.columns
-    both = docs.join(gone, F.col("doc_id") == F.col("_tw_id"), "left").select(*[docs[c] for c in keep], "_tw_gone")
+    # By exchange at every size: what goes grows with the corpus.
+    both = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_tw_id"), "left").select(*[docs[c] for c in keep], "_tw_gone")
     where = keep.index("text")
 
     def run(batches):
