@@ -158,21 +158,26 @@ def stream(page: str) -> list[list]:
         elif name not in _INLINE:
             flat.append([("/" if kind == "close" else "") + name, None, 1, []])
     out: list[list] = []
+    keys: list = []
     for node in flat:
         out.append(node)
+        keys.append(node[0])
         squeezed = True
         while squeezed:
             squeezed = False
-            for k in range(1, min(GROUP, len(out) - 1) + 1):
-                tail = tuple(x[0] for x in out[-k:])
-                if isinstance(out[-k - 1][0], tuple) and out[-k - 1][0] == tail:  # one more of a group
+            last = keys[-1]
+            for k in range(1, min(GROUP, len(keys) - 1) + 1):
+                before = keys[-k - 1]
+                if isinstance(before, tuple) and len(before) == k and before == tuple(keys[-k:]):  # one more of a group
                     group = out[-k - 1]
                     group[3] = group[3] + [i for x in out[-k:] for i in x[3]]
-                    del out[-k:]
+                    del out[-k:], keys[-k:]
                     squeezed = True
                     break
-                if k >= 2 and len(out) >= 2 * k and tuple(x[0] for x in out[-2 * k : -k]) == tail:
+                if k >= 2 and before == last and len(keys) >= 2 * k and keys[-2 * k : -k] == keys[-k:]:
+                    tail = tuple(keys[-k:])
                     out[-2 * k :] = [[tail, None, 1, [i for x in out[-2 * k :] for i in x[3]]]]
+                    keys[-2 * k :] = [tail]
                     squeezed = True
                     break
     return out
@@ -180,14 +185,24 @@ def stream(page: str) -> list[list]:
 
 def align(a: list[list], b: list[list]) -> list[tuple[int | None, int | None]]:
     """Pairs of positions; None where only one side has a token."""
-    keys: dict = {}
-    x, y = ([keys.setdefault(n[0], len(keys)) for n in w] for w in (a, b))
-    out, i, j = [], 0, 0
+    x, y = [n[0] for n in a], [n[0] for n in b]
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    ends = [(len(x) - tail + k, len(y) - tail + k) for k in range(tail)]
+    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(head)]
+    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
+    if not x or not y:
+        return out + [(head + k, None) for k in range(len(x))] + [(None, head + k) for k in range(len(y))] + ends
+    i = j = 0
     for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
-        out += [(k, None) for k in range(i, m.a)] + [(None, k) for k in range(j, m.b)]
-        out += [(m.a + k, m.b + k) for k in range(m.size)]
+        out += [(head + k, None) for k in range(i, m.a)] + [(None, head + k) for k in range(j, m.b)]
+        out += [(head + m.a + k, head + m.b + k) for k in range(m.size)]
         i, j = m.a + m.size, m.b + m.size
-    return out
+    return out + ends
 
 
 def merge(a: dict, b: dict) -> dict:
