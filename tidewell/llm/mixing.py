@@ -4,9 +4,9 @@ Every document of a source has the same expected number of copies r = target / s
 certain; the fraction is an inclusion probability.  The flight phase moves the fractions of small sets of documents
 through the null space of two constraints (document total, word total) until one of the set is 0 or 1.  Flights run in
 blocks of a source in parallel; what is left of each block (at most two documents) flies again with the rest of its
-source, level by level, until one block a source remains.  There a ladder of twelve documents of halving sizes stays out
-of the flight; with the two that the flight leaves they are the landing problem: of their 2^14 roundings, the one nearest
-to the word total wins.
+source, level by level, until one block a source remains.  A ladder of twelve documents of halving sizes, chosen from the
+whole source before the first level, stays out of all flights; with the two that the last flight leaves they are the landing
+problem: of their 2^14 roundings, the one nearest to the word total wins.  Each source lands at its own last level.
 
 Defined cases: null text has size 0; documents of size 0 follow the document total only.  Null source is a source of its
 own, last in order.  A source of size 0 has target 0.  Repeated rows are units of their own.  An empty table gives an
@@ -65,16 +65,36 @@ def flight(p: list[float], size: list[float], rng: np.random.Generator, order: l
 
 def ladder(size: list[float], n: int = LANDING) -> list[int]:
     """Units whose sizes halve from the largest downward; kept for the landing, where their sums reach almost any total."""
-    rest, out = sorted(range(len(size)), key=lambda i: (-size[i], i)), []
-    want = size[rest[0]] if rest else 0
-    while rest and len(out) < n and want >= 0.5:
-        i = min(rest, key=lambda j: abs(size[j] - want))
-        out.append(i)
-        rest.remove(i)
+    s = np.asarray(size, dtype=float)
+    rest, out = np.lexsort((np.arange(len(s)), -s)), []
+    want = s[rest[0]] if len(rest) else 0
+    while len(rest) and len(out) < n and want >= 0.5:
+        at = int(np.abs(s[rest] - want).argmin())
+        out.append(int(rest[at]))
+        rest = np.delete(rest, at)
         want /= 2
     return out
 
 
+def _rungs(source: pd.DataFrame) -> pd.DataFrame:
+    """Rows (skey, size, n_size) of a source -> (skey, size, n_size, take) of the sizes its ladder takes.  Units of a source differ by size only."""
+    source = source.sort_values("size", ascending=False, ignore_index=True)
+    at = np.repeat(np.arange(len(source)), np.minimum(source["n_size"], LANDING))
+    take = np.bincount(at[ladder(source["size"].to_numpy()[at])], minlength=len(source))
+    return source.assign(take=take)[take > 0]
+
+
+def with_ladder(flying: DataFrame, total: int) -> DataFrame:
+    """Adds _tw_kept: the unit belongs to the ladder of its source."""
+    counts = flying.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("n_size"))
+    rungs = cut(counts.groupBy("skey").applyInPandas(_rungs, "skey string, size long, n_size long, take long"), "rungs")
+    on = join_groups(flying.select("skey", "size", "_tw_r", "_tw_u"), rungs, ["skey", "size"], "n_size", total, F.col("_tw_r")).where("take is not null")
+    # The literal bound lets Spark drop most of a frequent size before the exchange.
+    on = on.withColumn("_tw_n", F.row_number().over(Window.partitionBy("skey", "size").orderBy("_tw_r", "_tw_u"))).where(F.col("_tw_n") <= LANDING)
+    kept = cut(on.where("_tw_n <= take").select("_tw_u", F.lit(True).alias("_tw_kept")), "ladder")
+    return flying.join(kept, "_tw_u", "left").withColumn("_tw_kept", F.coalesce("_tw_kept", F.lit(False)))
+
+
 def landing(p: list[float], size: list[float], left: list[int]) -> None:
     """Round the units left, in place: the rounding nearest to their word total wins, then the one nearest to their document total."""
     bits = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
@@ -84,19 +104,17 @@ def landing(p: list[float], size: list[float], left: list[int]) -> None:
         p[i] = float(x)
 
 
-def _fly(last: bool):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(["_tw_r", "_tw_u"], kind="stable")
-        size, p = block["size"].astype(float).tolist(), block["p"].tolist()
-        source = block["source"].iloc[0]
-        rng = np.random.default_rng(zlib.crc32(repr((None if pd.isna(source) else source, int(block["_tw_b"].iloc[0]))).encode()))
-        kept = ladder(size) if last else []
-        left = flight(p, size, rng, sorted(set(range(len(p))) - set(kept)))
-        if last:
-            landing(p, size, kept + left)
-        return block.assign(p=p)
-
-    return run
+def _fly(block: pd.DataFrame) -> pd.DataFrame:
+    """Units of the ladder pass; they land with the last block of their source."""
+    block = block.sort_values(["_tw_r", "_tw_u"], kind="stable")
+    size, p = block["size"].astype(float).tolist(), block["p"].tolist()
+    source = block["source"].iloc[0]
+    rng = np.random.default_rng(zlib.crc32(repr((None if pd.isna(source) else source, int(block["_tw_b"].iloc[0]))).encode()))
+    kept, rest = np.flatnonzero(block["_tw_kept"]).tolist(), np.flatnonzero(~block["_tw_kept"]).tolist()
+    left = flight(p, size, rng, rest)
+    if block["_tw_blocks"].iloc[0] == 1:
+        landing(p, size, kept + left)
+    return block.assign(p=p)
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -140,19 +158,19 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     both = cut(both.withColumn("_tw_r", F.xxhash64(F.lit(7), F.col("doc_id"), F.col("size"))).withColumn("_tw_u", F.monotonically_increasing_id()), "units")
     ship(spark)
     flying = both.where(F.col("p0") > _EPS).select("skey", "source", "_tw_u", "_tw_r", "size", "n_docs", "p0", F.col("p0").alias("p"))
+    flying = with_ladder(flying, total)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block)).cast("long")
     done, level = [], 0
     most = per.agg(F.max("n_docs")).first()[0] or 0
-    schema = "skey string, source string, _tw_u long, _tw_r long, size long, n_docs long, p0 double, p double, _tw_b long"
+    schema = "skey string, source string, _tw_u long, _tw_r long, size long, n_docs long, p0 double, p double, _tw_kept boolean, _tw_blocks long, _tw_b long"
     while True:
-        last = most <= block
-        flying = flying.withColumn("_tw_b", F.pmod(F.xxhash64(F.lit(level), F.col("_tw_r")), blocks))
-        flown = cut(flying.groupBy("skey", "_tw_b").applyInPandas(_fly(last), schema), f"flight{level}")
+        flying = flying.withColumn("_tw_blocks", blocks).withColumn("_tw_b", F.pmod(F.xxhash64(F.lit(level), F.col("_tw_r")), F.col("_tw_blocks")))
+        flown = cut(flying.groupBy("skey", "_tw_b").applyInPandas(_fly, schema), f"flight{level}")
         done.append(flown.where(F.col("p").isin(0.0, 1.0)).select("_tw_u", F.col("p").cast("long").alias("extra")))
-        if last:
+        if most <= block:
             break
-        # At most two documents a block are left.
-        flying = flown.where(~F.col("p").isin(0.0, 1.0)).drop("_tw_b").withColumn("n_docs", 2 * blocks)
+        # At most two documents a block are left, beside the ladder.
+        flying = flown.where(~F.col("p").isin(0.0, 1.0)).withColumn("n_docs", 2 * F.col("_tw_blocks")).drop("_tw_b", "_tw_blocks")
         most, level = 2 * -(-most // block), level + 1
     extra = done[0]
     for d in done[1:]:
