@@ -29,10 +29,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+#: What the stage calls near-duplicates: documents whose sets of five-word shingles have a similarity of 0.8 or more.
+NEAR_WORDS, NEAR = 5, (80, 100)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id; a repeated row of it goes too."""
     drop_scratch(spark)
-    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_tw_id")).distinct()
+    kept = neardup.near_duplicates(docs, NEAR, NEAR_WORDS).where("kept").select(F.col("doc_id").alias("_tw_id")).distinct()
     return docs.join(kept.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_tw_id")), "left_semi")
 
 

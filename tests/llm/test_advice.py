@@ -3,7 +3,8 @@
 import random
 from collections import Counter
 
-from tidewell.llm import mixing
+import pytest
+from tidewell.llm import mixing, neardup
 
 
 def test_small_sources_land_beside_a_large_one(spark):
@@ -17,3 +18,31 @@ def test_small_sources_land_beside_a_large_one(spark):
     assert len(target) == 7
     for s in target:
         assert abs(taken[s] - target[s]) <= 5, (s, taken[s], target[s])
+
+
+def test_stage_links_at_80_of_five_words(spark):
+    import corpus_pipeline
+
+    w = [f"w{i}" for i in range(490)]
+    # 396 of 486 shingles of five words; the last row has 4 of 5 words in common with the first, but few shingles.
+    rows = [(1, " ".join(w[:400])), (2, " ".join(w)), (3, " ".join(w[:300])), (4, " ".join("x" if i % 5 == 0 else x for i, x in enumerate(w)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3, 4]
+    assert {r.doc_id: r.n_shingles for r in neardup.near_duplicates(docs, (80, 100), 5).collect()}[1] == 396
+    assert [r.component_id for r in neardup.near_duplicates(docs).orderBy("doc_id").collect()] == [1, 2, 3, 4]
+
+
+def test_shingle_length_decides(spark):
+    w = [f"w{i}" for i in range(200)]
+    other = ["x" if i % 50 == 25 else x for i, x in enumerate(w)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(other))], "doc_id long, text string")
+    # Four changed words: 186 of 210 shingles of three words in common, 176 of 216 of five.
+    got = lambda threshold, k: neardup.near_duplicates(docs, threshold, k).where("kept").count()
+    assert (got((85, 100), 3), got((85, 100), 5), got((80, 100), 5), got((82, 100), 5)) == (1, 2, 1, 2)
+
+
+def test_trees_and_tokens_follow_the_threshold():
+    assert (neardup.trees((85, 100)), neardup.agree((85, 100))) == (5, 36)
+    assert (neardup.trees((80, 100)), neardup.agree((80, 100))) == (6, 30)
+    with pytest.raises(ValueError):
+        neardup.trees((50, 100))

@@ -1,10 +1,11 @@
 """Operator 9, near-duplicate documents: chosen-path set similarity join.
 
-A document is its set of distinct 3-word shingles.  Documents with equal sets become one class first.  Classes carry T
+A document is its set of distinct shingles, of 3 words unless the caller asks for another length.  Documents with equal sets become one class first.  Classes carry T
 minwise tokens.  In each of several independent trees a node chooses two token positions and branches its members by the
 tokens they have there; nodes of at most LIMIT members are compared exhaustively by their tokens, larger ones branch
 again.  With similarity s a node keeps a pair on a branch with probability s, so a tree finds a pair with probability
-q = 1 - (1 - s q)^2 at any depth: 0.969 at 0.85, and five trees miss fewer than one pair in 10^7.  A node that keeps most of its
+q = 1 - (1 - s q)^2 at any depth: 0.969 at 0.85, where five trees miss fewer than one pair in 10^7; 0.9375 at 0.8, where it
+takes six.  A node that keeps most of its
 parent's members is dense (copies of one another): it is taken as one candidate group as it is.
 
 The comparisons make candidate groups; they only have to be supersets of the true components.  Within a group, links are
@@ -31,22 +32,38 @@ from .graph import components
 from .words import Words, mix, windows
 
 T = 64  # minwise tokens a class has
-TREES = 5
 BRANCHES = 2
 LIMIT = 400  # members of a node that are compared exhaustively
 DEPTH = 8
 DENSE = 0.6  # a node with this share of its parent's members is a candidate group
-#: Tokens in common that a candidate pair needs: 6.4 standard deviations below the mean of a pair at the threshold.
-AGREE = 36
+#: Chance that the trees miss a pair at the threshold; standard deviations that a candidate's common tokens may lie below the mean of such a pair.
+MISSED, BELOW = 1e-7, 6.4
 GROUP_SHINGLES, GROUP_MEMBERS = 2_000_000, 4_000
 THRESHOLD = (85, 100)
+SHINGLE = 3
 
 _RNG = np.random.default_rng(9)
 _A = _RNG.integers(1, 2**63, T, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, T, dtype=np.uint64)
 
 
-def shingle_sets(texts: pa.Array, k: int = 3):
+def trees(threshold: tuple[int, int]) -> int:
+    """Trees that miss fewer than MISSED of the pairs at the threshold."""
+    s = threshold[0] / threshold[1]
+    q = min(1.0, (2 * s - 1) / s**2)
+    n = next((n for n in range(1, T // BRANCHES + 1) if (1 - q) ** n < MISSED), None) if q > 0 else None
+    if n is None:
+        raise ValueError(f"similarity {s:g} is too low for {T} tokens")
+    return n
+
+
+def agree(threshold: tuple[int, int]) -> int:
+    """Tokens in common that a candidate pair needs."""
+    s = threshold[0] / threshold[1]
+    return int(T * s - BELOW * (T * s * (1 - s)) ** 0.5)
+
+
+def shingle_sets(texts: pa.Array, k: int = SHINGLE):
     """The sorted distinct shingle hashes of each text."""
     w = Words(texts, lower=True)
     h = w.hashes()
@@ -82,7 +99,7 @@ def _positions(node: np.ndarray, level: int, tree: int | None) -> np.ndarray:
     return np.stack([first, second], axis=1)
 
 
-def _branch(level: int):
+def _branch(level: int, trees: int):
     """Rows (node, rep, parent, sig) -> rows (node, rep, parent): each member once in every branch."""
 
     def run(batches):
@@ -92,7 +109,7 @@ def _branch(level: int):
             sig = np.frombuffer(b"".join(b.column(3).to_pylist()), dtype="<u4").reshape(-1, T)
             node = b.column(0).to_numpy().view(np.uint64)
             out = []
-            for tree in range(TREES) if level == 0 else [None]:
+            for tree in range(trees) if level == 0 else [None]:
                 where = _positions(node, level, tree)
                 for k in range(BRANCHES):
                     c = where[:, k]
@@ -110,26 +127,30 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def _compare(batches):
-    """Rows (node, rep, sig) of whole small nodes -> forest edges (a, b) between members that agree on enough tokens."""
-    for t in whole_groups(batches, [0]):
-        rep = t.column(1).to_numpy()
-        sig = np.frombuffer(b"".join(t.column(2).to_pylist()), dtype="<u4").reshape(-1, T)
-        edge = np.concatenate([[0], changes(t, [0]), [t.num_rows]])
-        size = np.diff(edge)
-        two = edge[:-1][size == 2]
-        two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= AGREE]
-        left, right = [rep[two]], [rep[two + 1]]
-        for s, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist()):
-            own, parent = sig[s : s + n], list(range(n))
-            for i in range(n - 1):
-                for j in (np.flatnonzero((own[i + 1 :] == own[i]).sum(axis=1) >= AGREE) + i + 1).tolist():
-                    x, y = _find(parent, i), _find(parent, j)
-                    if x != y:
-                        parent[y] = x
-                        left.append(rep[s + i : s + i + 1])
-                        right.append(rep[s + j : s + j + 1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+def _compare(least: int):
+    """Rows (node, rep, sig) of whole small nodes -> forest edges (a, b) between members that agree on at least `least` tokens."""
+
+    def run(batches):
+        for t in whole_groups(batches, [0]):
+            rep = t.column(1).to_numpy()
+            sig = np.frombuffer(b"".join(t.column(2).to_pylist()), dtype="<u4").reshape(-1, T)
+            edge = np.concatenate([[0], changes(t, [0]), [t.num_rows]])
+            size = np.diff(edge)
+            two = edge[:-1][size == 2]
+            two = two[(sig[two] == sig[two + 1]).sum(axis=1) >= least]
+            left, right = [rep[two]], [rep[two + 1]]
+            for s, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist()):
+                own, parent = sig[s : s + n], list(range(n))
+                for i in range(n - 1):
+                    for j in (np.flatnonzero((own[i + 1 :] == own[i]).sum(axis=1) >= least) + i + 1).tolist():
+                        x, y = _find(parent, i), _find(parent, j)
+                        if x != y:
+                            parent[y] = x
+                            left.append(rep[s + i : s + i + 1])
+                            right.append(rep[s + j : s + j + 1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    return run
 
 
 def confirm(sets: list[np.ndarray], block: np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> list[tuple[int, int]]:
@@ -177,7 +198,7 @@ def confirm(sets: list[np.ndarray], block: np.ndarray, threshold: tuple[int, int
     return out
 
 
-def _confirm(threshold):
+def _confirm(threshold, k: int):
     def run(batches):
         for t in whole_groups(batches, [0, 1, 2]):
             edge = [0, *changes(t, [0, 1, 2]).tolist(), t.num_rows]
@@ -186,7 +207,7 @@ def _confirm(threshold):
                 if e - s < 2:
                     continue
                 g = t.slice(s, e - s).combine_chunks()
-                sets = list(shingle_sets(pa.concat_arrays(g.column(7).chunks)))
+                sets = list(shingle_sets(pa.concat_arrays(g.column(7).chunks), k))
                 rep, c1, c2, block = (g.column(i).to_numpy() for i in (3, 4, 5, 6))
                 good = [i for i, x in enumerate(sets) if len(x) and digest(x) == (c1[i], c2[i])]
                 if len(good) > 1:
@@ -198,10 +219,10 @@ def _confirm(threshold):
     return run
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def candidates(reps: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Forest edges (a, b) over (rep, sig): pairs above the threshold lie in one component of them."""
     edges, level = [], 0
-    rows = reps.select(F.lit(0).cast("long").alias("node"), "rep", F.lit(2**62).cast("long").alias("parent"), "sig").mapInArrow(_branch(0), "node long, rep long, parent long")
+    rows = reps.select(F.lit(0).cast("long").alias("node"), "rep", F.lit(2**62).cast("long").alias("parent"), "sig").mapInArrow(_branch(0, trees(threshold)), "node long, rep long, parent long")
     rows = cut(rows, "level0")
     while True:
         total = rows.count()
@@ -211,19 +232,19 @@ def candidates(reps: DataFrame) -> DataFrame:
         dense = (F.col("size") > LIMIT) & ((F.col("size") > DENSE * F.col("parent")) | F.lit(level + 1 >= DEPTH))
         edges.append(both.where(dense).select(F.col("first").alias("a"), F.col("rep").alias("b")))
         small = both.where(F.col("size") <= LIMIT).select("node", "rep").join(reps, "rep").select("node", "rep", "sig")
-        edges.append(small.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_compare, "a long, b long"))
+        edges.append(small.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(_compare(agree(threshold)), "a long, b long"))
         big = both.where((F.col("size") > LIMIT) & ~dense)
         if big.isEmpty():
             break
         level += 1
-        rows = cut(big.join(reps, "rep").select("node", "rep", F.col("size").alias("parent"), "sig").mapInArrow(_branch(level), "node long, rep long, parent long"), f"level{level}")
+        rows = cut(big.join(reps, "rep").select("node", "rep", F.col("size").alias("parent"), "sig").mapInArrow(_branch(level, trees(threshold)), "node long, rep long, parent long"), f"level{level}")
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
     return out
 
 
-def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for every row of docs."""
     spark = docs.sparkSession
     ship(spark)
@@ -233,7 +254,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
         for batch in batches:
             for b in slices(batch, 1):
                 n, c1, c2, sig = [], [], [], []
-                for s in shingle_sets(b.column(1)):
+                for s in shingle_sets(b.column(1), k):
                     n.append(len(s))
                     d = digest(s)
                     c1.append(d[0])
@@ -245,7 +266,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     classes = cut(signed.where("n_shingles > 0").groupBy("c1", "c2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     reps = classes.where("rep is not null").join(signed, [F.col("rep") == F.col("doc_id"), *[classes[c] == signed[c] for c in ("c1", "c2", "n_shingles")]]).select("rep", "sig").dropDuplicates(["rep"])
     reps = cut(reps, "reps")
-    group = components(candidates(reps))
+    group = components(candidates(reps, threshold))
     free_shuffles(spark)
     member = group.join(classes.where("rep is not null"), F.col("v") == F.col("rep")).select("rep", "c1", "c2", "n_shingles", F.col("root").alias("cluster"))
     member = cut(member, "members")
@@ -258,7 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD) ->
     member = member.select("rep", "c1", "c2", "cluster", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     # Always by exchange: members grow with the corpus, so a plan that broadcasts them on small inputs says nothing about large ones.
     units = rows.join(member.hint("merge"), F.col("doc_id") == F.col("rep")).select("cluster", "bi", "bj", "rep", "c1", "c2", "block", "text")
-    links = units.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "rep").mapInArrow(_confirm(threshold), "a long, b long")
+    links = units.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "rep").mapInArrow(_confirm(threshold, k), "a long, b long")
     comp = components(links)
     free_shuffles(spark)
     classes = classes.join(comp, F.col("rep") == F.col("v"), "left").select("c1", "c2", "n_shingles", "copies", F.coalesce("root", "rep").alias("component_id"))
