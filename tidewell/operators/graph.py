@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """src, dst for every path of at most `depth` edges: squaring, so rounds are logarithmic in the longest path."""
+def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """src, dst for every path: squaring until no pair is added, so rounds are logarithmic in the longest path.  With `depth`, stops
+    once paths of so many edges are in."""
     reach, hops = edges.select("src", "dst").distinct(), 1
     size = reach.count()
-    while hops < depth:
+    while depth is None or hops < depth:
         step = reach.select(F.col("src").alias("_s"), F.col("dst").alias("src")).join(reach, "src").select(F.col("_s").alias("src"), "dst")
-        reach = reach.unionByName(step).distinct().checkpoint() if reach.sparkSession.sparkContext.getCheckpointDir() else reach.unionByName(step).distinct()
+        reach = reach.unionByName(step).distinct()
+        reach = reach.checkpoint() if reach.sparkSession.sparkContext.getCheckpointDir() else reach.localCheckpoint()
         now = reach.count()
         if now == size:
             break
@@ -20,7 +22,7 @@ def closure(edges: DataFrame, depth: int = 64) -> DataFrame:
     return reach
 
 
-def cycle_members(edges: DataFrame, depth: int = 64) -> DataFrame:
+def cycle_members(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes that reach themselves."""
     return closure(edges, depth).where("src = dst").select(F.col("src").alias("node")).distinct()
 
