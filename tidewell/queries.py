@@ -127,8 +127,8 @@ def reconcile_outcomes(spark, d):
 @query("SELECT c_name || '/x' AS path, 'collision' AS conflict FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT upper(c_name) || '/x', 'collision' FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT '/' || c_custkey, 'absolute' FROM customer WHERE c_custkey % 50 = 1")
 def output_path_conflicts(spark, d):
     c = _t(spark, d, "customer")
-    some = c.where("c_custkey % 50 = 0")
-    return path_conflicts(some.select(F.concat("c_name", F.lit("/x")).alias("path")).union(some.select(F.concat(F.upper("c_name"), F.lit("/x")))).union(c.where("c_custkey % 50 = 1").select(F.concat(F.lit("/"), "c_custkey"))))
+    clashing, absolute = c.where("c_custkey % 50 = 0"), c.where("c_custkey % 50 = 1")
+    return path_conflicts(c.select(F.concat("c_name", F.lit("/x")).alias("path")).union(clashing.select(F.concat(F.upper("c_name"), F.lit("/x")))).union(absolute.select(F.concat(F.lit("/"), "c_custkey"))))
 
 
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 13 = 0 THEN 'gone' WHEN o_orderkey % 9 = 0 THEN 'new' WHEN o_orderkey % 5 = 0 THEN 'miss' ELSE 'hit' END AS state FROM orders WHERE NOT (o_orderkey % 13 = 0 AND o_orderkey % 9 = 0)")
