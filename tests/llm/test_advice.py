@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from tidewell.llm import mixing, neardup
+from tidewell.llm import mixing, neardup, substrings
 
 
 def test_small_sources_land_beside_a_large_one(spark):
@@ -46,3 +46,10 @@ def test_trees_and_tokens_follow_the_threshold():
     assert (neardup.trees((80, 100)), neardup.agree((80, 100))) == (6, 30)
     with pytest.raises(ValueError):
         neardup.trees((50, 100))
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, c), (2, c), (3, c), (4, a), (4, d), (5, "x y"), (5, d + " x"), (None, b), (None, b)]
+    got = Counter((r.doc_id, r.kept_text) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, a): 1, (1, ""): 2, (2, b): 1, (2, c): 1, (2, ""): 1, (3, ""): 1, (4, ""): 1, (4, d): 1, (5, "x y"): 1, (5, "x"): 1, (None, b): 2})

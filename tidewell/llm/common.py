@@ -37,13 +37,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
-    """As cut, but bucketed and sorted by key, so that later joins on it don't exchange this side again."""
+def bucketed(df: DataFrame, key: str, name: str, then=lambda df: df) -> DataFrame:
+    """As cut, but bucketed and sorted by key, so that later joins on it don't exchange this side again.  `then` maps it after the exchange by key."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"tidewell_{name}_{uuid.uuid4().hex}"
     path = scratch_path(spark, name)
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    then(df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
 
 

@@ -20,7 +20,8 @@ take part.
 
 Defined cases: null text has no words.  A text of fewer than WINDOW words loses nothing.  Rows with a null doc_id have no
 place in the order: they lose nothing and no other row loses words to them.  Rows that share a doc_id and text are copies of one
-another in an unspecified order.  An empty table gives an empty result.
+another in an unspecified order: one of them stays.  Rows that share a doc_id with different texts are documents of their own, in
+the order of a digest.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -61,6 +62,19 @@ def long_windows(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return windows(h1, WINDOW), windows(h2, WINDOW)
 
 
+#: Positions carry above these bits which of the texts of a doc_id they belong to.
+SHIFT = 32
+
+
+def _own(at: list[int], nth: int) -> np.ndarray:
+    """Which of the positions belong to the nth text of the doc_id."""
+    return np.array(at, np.int64) >> SHIFT == nth
+
+
+def _within(at: list[int]) -> np.ndarray:
+    return np.array(at, np.int64) & ((1 << SHIFT) - 1)
+
+
 class _Firsts:
     """Gathers (key, doc, pos) and releases them so that of equal keys only the first goes to the exchange.
 
@@ -98,7 +112,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _seed_rows(batches):
-    """(doc_id, text, copy) -> (seed, doc_id, pos, known): every seed of every document that isn't a copy."""
+    """(doc_id, text, copy, nth) -> (seed, doc_id, pos, known): every seed of every document that isn't a copy."""
     gather = _Firsts()
 
     def out():
@@ -113,13 +127,13 @@ def _seed_rows(batches):
             if not b.num_rows:
                 continue
             w = Words(b.column(1))
-            h, ids = w.hashes(), b.column(0).to_numpy()
+            h, ids, nth = w.hashes(), b.column(0).to_numpy(), b.column(3).to_numpy()
             for i in range(b.num_rows):
                 own = h[w.first[i] : w.first[i + 1]]
                 if len(own) >= WINDOW:
                     g, at = seeds(own)
                     at = np.unique(at)
-                    gather.add(g[at], np.full(len(at), ids[i]), at.astype(np.int32))
+                    gather.add(g[at], np.full(len(at), ids[i]), at + (nth[i] << SHIFT))
             if gather.n > GATHER:
                 yield from out()
     yield from out()
@@ -157,7 +171,7 @@ def _repeated_seeds(batches):
         known, _, doc, pos, repeated = columns
         same &= ~known
         if held is not None and same[0]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int32())], names=["doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array([held[0]], pa.int64()), pa.array([held[1]], pa.int64())], names=["doc_id", "pos"])
         take = same | known | repeated
         take[:-1] |= same[1:]
         held = None if take[-1] else (doc[-1], pos[-1])
@@ -165,7 +179,7 @@ def _repeated_seeds(batches):
 
 
 def _window_rows(batches):
-    """(doc_id, text, at: positions of repeated seeds) -> windows under them; known ones as runs with length > 0."""
+    """(doc_id, text, at: positions of repeated seeds, nth) -> windows under them; known ones as runs with length > 0."""
     gather = _Firsts()
     names = ["w1", "w2", "doc_id", "pos", "length"]
 
@@ -181,15 +195,17 @@ def _window_rows(batches):
         for b in slices(batch, 1):
             w = Words(b.column(1))
             h1, h2, ids = w.hashes(), w.hashes(1), b.column(0).to_numpy()
-            found = b.column(2).to_pylist()
+            found, nth = b.column(2).to_pylist(), b.column(3).to_numpy()
             for i in range(b.num_rows):
                 s = slice(w.first[i], w.first[i + 1])
+                if w.counts[i] < WINDOW:
+                    continue
                 _, at = seeds(h1[s])
                 hit = np.zeros(int(w.counts[i]) + 1, bool)
-                hit[found[i]] = True
+                hit[_within(found[i])[_own(found[i], nth[i])]] = True
                 take = np.flatnonzero(hit[at])
                 a, c = long_windows(h1[s], h2[s])
-                gather.add(a[take], c[take], np.full(len(take), ids[i]), take.astype(np.int32))
+                gather.add(a[take], c[take], np.full(len(take), ids[i]), take + (nth[i] << SHIFT))
             if gather.n > GATHER:
                 yield from out()
     yield from out()
@@ -222,32 +238,46 @@ def _cover(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
 
 
 def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): texts is (doc_id, text, copy), bucketed by doc_id; runs is (doc_id, starts, lengths) of duplicate windows."""
+    """(texts, runs): texts is (doc_id, text, copy, nth), bucketed by doc_id; runs is (doc_id, starts, lengths) of duplicate windows."""
     spark = docs.sparkSession
     ship(spark)
     rows = _texts(docs)
-    # Equal texts: all but the row with the smallest id are copies.
+    # Equal texts: all but one row with the smallest id are copies.
     words = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
     keyed = cut(rows.where("doc_id is not null").select("doc_id", F.md5(words).alias("key")), "keys")
     firsts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = join_groups(keyed, firsts, ["key"], "n", keyed.count(), F.xxhash64("doc_id")).where("doc_id > first").select("doc_id", F.lit(True).alias("copy")).distinct()
-    texts = rows.join(cut(copies, "copies"), "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
-    texts = bucketed(texts, "doc_id", "texts")
+    total = keyed.count()
+    copies = join_groups(keyed, firsts, ["key"], "n", total, F.xxhash64("doc_id")).where("doc_id > first").select("doc_id", "key", F.lit(True).alias("copy"), F.lit(0).alias("nth"))
+    # Ids of several rows: their different texts are numbered.
+    shared = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    several = join_groups(keyed, shared, ["doc_id"], "rows", total, F.xxhash64("key")).where("rows is not null").select("doc_id", "key").distinct()
+    several = several.select("doc_id", "key", F.lit(False).alias("copy"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("key")) - 1).alias("nth"))
+    known = cut(copies.unionByName(several).groupBy("doc_id", "key").agg(F.max("copy").alias("copy"), F.max("nth").alias("nth")), "copies")
+    known = known.withColumnsRenamed({"doc_id": "_tw_id", "key": "_tw_key"})
+    later = F.col("doc_id").isNotNull() & (F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("key")) > 1)
+
+    def mark(t: DataFrame) -> DataFrame:
+        """Of the rows that share doc_id and text, one stands for all.  startsWith, not equality: as a join key it would exchange the texts again."""
+        t = t.withColumn("key", F.md5(words))
+        t = t.join(known.hint("merge"), (F.col("doc_id") == F.col("_tw_id")) & F.col("key").startswith(F.col("_tw_key")), "left")
+        return t.select("doc_id", "text", (F.coalesce("copy", F.lit(False)) | later).alias("copy"), F.coalesce("nth", F.lit(0)).cast("long").alias("nth"))
+
+    texts = bucketed(rows, "doc_id", "texts", mark)
     free_shuffles(spark)
     live = texts.where("doc_id is not null and not copy")
-    found = live.mapInArrow(_seed_rows, "seed long, doc_id long, pos int, known boolean, repeated boolean")
+    found = live.mapInArrow(_seed_rows, "seed long, doc_id long, pos long, known boolean, repeated boolean")
     # Known rows are spread evenly; firsts meet by seed.
     route = F.when(F.col("known"), F.xxhash64("doc_id", "pos")).otherwise(F.xxhash64("seed"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = found.withColumn("r", route).repartition(n, "r").drop("r")
     met = met.select("known", "seed", "doc_id", "pos", "repeated").sortWithinPartitions("known", "seed", "doc_id", "pos")
-    again = met.mapInArrow(_repeated_seeds, "doc_id long, pos int")
+    again = met.mapInArrow(_repeated_seeds, "doc_id long, pos long")
     at = cut(again.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "seeds")
     free_shuffles(spark)
-    wide = live.join(at, "doc_id").select("doc_id", "text", "at").mapInArrow(_window_rows, "w1 long, w2 long, doc_id long, pos int, length int")
+    wide = live.join(at, "doc_id").select("doc_id", "text", "at", "nth").mapInArrow(_window_rows, "w1 long, w2 long, doc_id long, pos long, length int")
     wide = cut(wide, "windows")
     by_key = wide.where("length = 0").select("w1", "w2", "doc_id", "pos").repartition(n, "w1").sortWithinPartitions("w1", "w2", "doc_id", "pos")
-    runs = by_key.mapInArrow(_duplicate_windows, "doc_id long, pos int, length int").unionByName(wide.where("length > 0").select("doc_id", "pos", "length"))
+    runs = by_key.mapInArrow(_duplicate_windows, "doc_id long, pos long, length int").unionByName(wide.where("length > 0").select("doc_id", "pos", "length"))
     runs = runs.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"), F.collect_list("length").alias("lengths"))
     return texts, cut(runs, "runs")
 
@@ -263,20 +293,20 @@ def dedup(docs: DataFrame) -> DataFrame:
                 w = Words(b.column(1))
                 removed, out = [], []
                 starts, lengths = b.column(3).to_pylist(), b.column(4).to_pylist()
-                copy = b.column(2).to_pylist()
+                copy, nth = b.column(2).to_pylist(), b.column(5).to_numpy()
                 raw = w.data.tobytes()
                 for i in range(b.num_rows):
                     words, n = raw[w.at[i] : w.at[i + 1]].split(), int(w.counts[i])
                     if copy[i] and n >= WINDOW:
                         words = []
-                    elif starts[i]:
-                        gone = _cover(np.array(starts[i]), np.array(lengths[i]), n)
+                    elif starts[i] and (own := _own(starts[i], nth[i])).any():
+                        gone = _cover(_within(starts[i])[own], np.array(lengths[i])[own], n)
                         words = [x for x, g in zip(words, gone.tolist()) if not g]
                     removed.append(n - len(words))
                     out.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
-    both = texts.join(runs, "doc_id", "left").select("doc_id", "text", "copy", "starts", "lengths")
+    both = texts.join(runs, "doc_id", "left").select("doc_id", "text", "copy", "starts", "lengths", "nth")
     return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
