@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import pytest
-from tidewell.llm import mixing, neardup, substrings
+from tidewell.llm import html, mixing, neardup, substrings
 
 
 def test_small_sources_land_beside_a_large_one(spark):
@@ -53,3 +53,12 @@ def test_rows_that_share_an_id_keep_their_texts(spark):
     rows = [(1, a), (1, a), (1, a), (2, b), (2, c), (2, c), (3, c), (4, a), (4, d), (5, "x y"), (5, d + " x"), (None, b), (None, b)]
     got = Counter((r.doc_id, r.kept_text) for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == Counter({(1, a): 1, (1, ""): 2, (2, b): 1, (2, c): 1, (2, ""): 1, (3, ""): 1, (4, ""): 1, (4, d): 1, (5, "x y"): 1, (5, "x"): 1, (None, b): 2})
+
+
+def test_layout_after_a_hundred_pages_is_learned(spark):
+    old = lambda i: f"<html><body><div>Old menu</div><p>Text {i}</p></body></html>"
+    new = lambda i: f"<html><body><section><h4>New menu</h4></section><blockquote>Text {i}</blockquote></body></html>"
+    rows = [("h", old(i) if i < 105 else new(i)) for i in range(250)]
+    w = html.load(html.infer(spark.createDataFrame(rows, "host string, html string").coalesce(1)).first().wrapper)
+    counts = {k: n for k, _, n in w["nodes"]}
+    assert w["pages"] == 250 and counts["section"] == counts["blockquote"] == 145

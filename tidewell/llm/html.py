@@ -215,11 +215,14 @@ def merge(a: dict, b: dict) -> dict:
             nodes.append([p[0], p[1] if p[1] == q[1] else None, p[2] + q[2]])
         else:
             nodes.append(list(a["nodes"][i] if i is not None else b["nodes"][j]))
-    if pages >= RARE:
-        nodes = [n for n in nodes if n[2] * RARE >= pages]
     return {"pages": pages, "nodes": nodes}
 
 
+def prune(w: dict) -> dict:
+    """A host's whole wrapper without rare tokens; earlier, a token that has yet to become frequent would go too."""
+    return {"pages": w["pages"], "nodes": [n for n in w["nodes"] if n[2] * RARE >= w["pages"]]} if w["pages"] >= RARE else w
+
+
 def _tuples(x):
     return tuple(_tuples(i) for i in x) if isinstance(x, list) else x
 
@@ -261,13 +264,14 @@ def infer(pages: DataFrame) -> DataFrame:
                     held.clear()
         yield out()
 
-    def combine(key, t: pa.Table) -> pa.Table:
+    def combine(key, t: pa.Table, last: bool = False) -> pa.Table:
         w = fold([load(x) for x in t.column("wrapper").to_pylist()])
+        w = prune(w) if last else w
         return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(w)]})
 
     parts = pages.mapInArrow(partial, "host string, wrapper string").withColumn("salt", F.spark_partition_id() % 64)
     some = parts.groupBy("host", "salt").applyInArrow(lambda key, t: combine(key, t.select(["wrapper"])), "host string, wrapper string")
-    whole = some.groupBy("host").applyInArrow(lambda key, t: combine(key, t.select(["wrapper"])), "host string, wrapper string")
+    whole = some.groupBy("host").applyInArrow(lambda key, t: combine(key, t.select(["wrapper"]), True), "host string, wrapper string")
     return whole.select("host", F.get_json_object("wrapper", "$.pages").cast("long").alias("pages"), "wrapper")
 
 
