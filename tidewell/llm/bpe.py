@@ -195,10 +195,10 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all but text), then input_ids array<int>, n_tokens long."""
+    """The columns `keep` (default: all but text), then input_ids array<int>, n_tokens long; kept columns with these two names give way."""
     ship(docs.sparkSession)
     path = path or default_path()
-    keep = [c for c in docs.columns if c != text] if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "input_ids", "n_tokens")]
     rows = docs.select(F.col(text).cast("string").alias("_tw_text"), *keep)
 
     def run(batches):

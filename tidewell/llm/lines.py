@@ -11,8 +11,8 @@ that stay are joined by \\n again, a text that loses none is returned as it was.
 Sketches combine before the exchange; lines meet the boilerplate table by a join that no line can skew; texts move once.
 
 Defined cases: null text stays null and has no lines.  A null site is a site of its own.  Rows with a null doc_id lose no
-line and make no first occurrence, but their sites count.  Rows that share a doc_id lose the same lines.  An empty table
-gives an empty result.
+line and make no first occurrence, but their sites count.  Rows that share a doc_id lose the same lines.  Very long texts are
+split like others, one at a time.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,15 +41,16 @@ def line_rows(docs: DataFrame, site: str = "source", min_words: int = MIN_WORDS)
     return lines.select("doc_id", "pos", F.unhex(F.md5("line")).alias("key"), "site")
 
 
-def boilerplate(lines: DataFrame, spread: int = SPREAD) -> DataFrame:
-    """key, occurrences, first (struct of doc_id, pos) of lines on at least `spread` sites."""
+def boilerplate(lines: DataFrame, total: int, spread: int = SPREAD) -> DataFrame:
+    """key, occurrences, first (struct of doc_id, pos) of lines on at least `spread` sites; total is the number of lines."""
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "pos")))
     seen = lines.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG))).alias("estimate"), F.count(F.lit(1)).alias("occurrences"), first.alias("first"))
     margin = max(1.0, BAND * 1.04 / 2 ** (LG / 2) * spread)
     seen = cut(seen.where(F.col("estimate") >= spread - margin), "spread")
     near = seen.where(F.col("estimate") <= spread + margin)
-    # Distinct (key, site) pairs first: however often a line occurs, it then has one row a site.
-    pairs = lines.join(near.select("key"), "key", "left_semi").groupBy("key", "site").agg(F.lit(1).alias("one"))
+    # However often a line occurs, its rows are spread before they are looked up, and then it has one row a site.
+    some = join_groups(lines, near.select("key", "occurrences"), ["key"], "occurrences", total, F.xxhash64("doc_id", "pos"))
+    pairs = some.where("occurrences is not null").groupBy("key", "site").agg(F.lit(1).alias("one"))
     exact = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= spread)
     sure = seen.where(F.col("estimate") > spread + margin)
     return cut(sure.unionByName(near.join(exact.select("key"), "key", "left_semi")).select("key", "occurrences", "first"), "boilerplate")
@@ -59,18 +60,20 @@ def removals(docs: DataFrame, site: str = "source", spread: int = SPREAD, min_wo
     """doc_id, gone: the numbers of the lines that go, for documents that lose any."""
     lines = cut(line_rows(docs, site, min_words), "lines")
     free_shuffles(docs.sparkSession)
-    known = boilerplate(lines, spread)
-    hits = join_groups(lines.select("doc_id", "pos", "key"), known, ["key"], "occurrences", lines.count(), F.xxhash64("doc_id", "pos"))
+    total = lines.count()
+    known = boilerplate(lines, total, spread)
+    hits = join_groups(lines.select("doc_id", "pos", "key"), known, ["key"], "occurrences", total, F.xxhash64("doc_id", "pos"))
     hits = hits.where("doc_id is not null and occurrences is not null and (doc_id <> first.doc_id or pos <> first.pos)")
     return hits.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", spread: int = SPREAD, min_words: int = MIN_WORDS) -> DataFrame:
-    """All rows and columns of docs, text without its boilerplate lines, then n_lines and n_removed (long)."""
+def dedup_lines(docs: DataFrame, site: str = "source", spread: int = SPREAD, min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
+    """All rows and columns of docs, text without its boilerplate lines, then, with `counts`, n_lines and n_removed (long), to
+    which columns of docs with these names give way."""
     ship(docs.sparkSession)
     gone = cut(removals(docs, site, spread, min_words), "gone").withColumnRenamed("doc_id", "_tw_id").withColumnRenamed("gone", "_tw_gone")
     free_shuffles(docs.sparkSession)
-    keep = docs.columns
+    keep = [c for c in docs.columns if not counts or c not in ("n_lines", "n_removed")]
     # By exchange at every size: what goes grows with the corpus.
     both = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_tw_id"), "left").select(*[docs[c] for c in keep], "_tw_gone")
     where = keep.index("text")
@@ -89,9 +92,12 @@ def dedup_lines(docs: DataFrame, site: str = "source", spread: int = SPREAD, min
                     texts.append(t)
                 columns = list(b.columns[: len(keep)])
                 columns[where] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=[*keep, "n_lines", "n_removed"])
+                more = [pa.array(n, pa.int64()), pa.array(removed, pa.int64())] if counts else []
+                yield pa.RecordBatch.from_arrays([*columns, *more], names=names)
 
-    return both.mapInArrow(run, both.select(*keep).schema.add("n_lines", "long").add("n_removed", "long"))
+    names = [*keep, "n_lines", "n_removed"] if counts else keep
+    schema = both.select(*keep).schema
+    return both.mapInArrow(run, schema.add("n_lines", "long").add("n_removed", "long") if counts else schema)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

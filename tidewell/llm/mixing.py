@@ -10,7 +10,8 @@ problem: of their 2^14 roundings, the one nearest to the word total wins.  Each
 
 Defined cases: null text has size 0; documents of size 0 follow the document total only.  Null source is a source of its
 own, last in order.  A source of size 0 has target 0.  Repeated rows are units of their own.  An empty table gives an
-empty result.  Blocks, order and random numbers depend on the rows alone, so reruns agree.
+empty result.  Very long texts are units like others.  Ties in a landing go to the first rounding.  Blocks, order and random
+numbers depend on the rows alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .batches import slices
 from .common import cut, join_groups, table
 from .words import Words
 
@@ -117,15 +119,22 @@ def _fly(block: pd.DataFrame) -> pd.DataFrame:
     return block.assign(p=p)
 
 
+def text_hash():
+    """64 bits of the text, null as the empty one; tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: words [^\\x20\\x09-\\x0D]+ of the whole text."""
+    """doc_id, source, text_hash, size: words [^\\x20\\x09-\\x0D]+ of the whole text."""
     ship(docs.sparkSession)
 
     def count(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(Words(b.column(2)).counts, pa.int64())], ["doc_id", "source", "size"])
+        for batch in batches:
+            for b in slices(batch, 3):
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(Words(b.column(3)).counts, pa.int64())], ["doc_id", "source", "text_hash", "size"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")).mapInArrow(count, "doc_id long, source string, size long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(count, "doc_id long, source string, text_hash long, size long")
 
 
 def targets(per_source: DataFrame, weights: int = 3, ceiling: int = 3) -> DataFrame:
@@ -146,7 +155,7 @@ def targets(per_source: DataFrame, weights: int = 3, ceiling: int = 3) -> DataFr
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (long), taken = size * copies; a row for every row of docs."""
+    """doc_id, source, text_hash, size, source_size, target, copies (long), taken = size * copies; a row for every row of docs."""
     spark = docs.sparkSession
     rows = cut(sizes(docs), "sizes")
     total = rows.count()
@@ -176,7 +185,7 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     for d in done[1:]:
         extra = extra.unionByName(d)
     out = both.join(extra, "_tw_u", "left").withColumn("copies", F.col("base") + F.coalesce("extra", F.lit(0)))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "source", "text_hash", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op7_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
