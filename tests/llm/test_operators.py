@@ -23,7 +23,7 @@ def test_digest_index_is_persistent(spark, tmp_path):
     assert second[9].seen_before and not second[9].kept and second[10].kept
     assert exact.ingest(docs(spark, [(11, "b")]), index).first().seen_before
     index.compact()
-    assert len(index._generations()) == 1
+    assert len(index.generations()) == 1
     assert exact.ingest(docs(spark, [(12, "a")]), exact.DigestIndex(spark, path)).first().seen_before
 
 
