@@ -125,23 +125,32 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], count: str, total: int, spread: Column) -> DataFrame:
-    """Left join of rows with one-row-per-key groups, safe for keys that hold any share of the rows.
+def salted(rows: DataFrame, groups: DataFrame, key: list[str], count: str, total: int, spread: Column) -> tuple[DataFrame, DataFrame]:
+    """rows and one-row-per-key groups, both with a part _tw_s beside the key, so that no key's rows need meet in one task.
 
-    groups has the key columns, `count` (rows with that key) and value columns.  A key with count >= total / HOT_PARTS is cut
-    into that many parts by `spread`, and its group row is repeated for each; such keys are at most HOT_PARTS in number, and
-    what is broadcast is their hash and number of parts, 12 bytes a key.  Rows with a null key match nothing and are spread
-    too.  `count` stays as a column.
+    A key with count >= total / HOT_PARTS rows is cut into parts by `spread`, and its group row is repeated for each; such keys
+    are at most HOT_PARTS in number, and what is broadcast is their hash and number of parts, 12 bytes a key.  Rows with a null
+    key are spread too.
     """
-    values = [c for c in groups.columns if c not in key]
     least = max(2, -(-total // HOT_PARTS))
     h = F.xxhash64(*[F.col(k) for k in key])
     parts = F.ceil(F.col(count) / least).cast("int")
     hot = F.broadcast(groups.where(F.col(count) > least).select(h.alias("_tw_h"), parts.alias("_tw_n")).groupBy("_tw_h").agg(F.max("_tw_n").alias("_tw_n")))
     empty = F.greatest(*[F.col(k).isNull() for k in key]) if len(key) > 1 else F.col(key[0]).isNull()
-    left = rows.withColumn("_tw_h", h).join(hot, "_tw_h", "left").withColumn("_tw_s", F.when(empty, F.pmod(spread, F.lit(2**30))).when(F.col("_tw_n").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.col("_tw_n"))).cast("long"))
-    right = groups.withColumn("_tw_h", h).join(hot, "_tw_h", "left").withColumn("_tw_p", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_tw_n"), F.lit(1)).cast("long") - 1)))
-    right = right.select(*[F.col(k).alias(f"_tw_k{i}") for i, k in enumerate(key)], "_tw_p", F.struct(*values).alias("_tw_v"))
+    part = F.when(empty, F.pmod(spread, F.lit(2**30))).when(F.col("_tw_n").isNull(), F.lit(0)).otherwise(F.pmod(spread, F.col("_tw_n"))).cast("long")
+    left = rows.withColumn("_tw_h", h).join(hot, "_tw_h", "left").withColumn("_tw_s", part).drop("_tw_h", "_tw_n")
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("_tw_n"), F.lit(1)).cast("long") - 1)
+    return left, groups.withColumn("_tw_h", h).join(hot, "_tw_h", "left").withColumn("_tw_s", F.explode(every)).drop("_tw_h", "_tw_n")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], count: str, total: int, spread: Column) -> DataFrame:
+    """Left join of rows with one-row-per-key groups, safe for keys that hold any share of the rows (see salted).
+
+    groups has the key columns, `count` (rows with that key) and value columns.  `count` stays as a column; null keys match nothing.
+    """
+    values = [c for c in groups.columns if c not in key]
+    left, right = salted(rows, groups, key, count, total, spread)
+    right = right.select(*[F.col(k).alias(f"_tw_k{i}") for i, k in enumerate(key)], F.col("_tw_s").alias("_tw_p"), F.struct(*values).alias("_tw_v"))
     on = [F.col(k) == F.col(f"_tw_k{i}") for i, k in enumerate(key)] + [F.col("_tw_s") == F.col("_tw_p")]
     return left.join(right, on, "left").select(*rows.columns, *[F.col("_tw_v")[v].alias(v) for v in values])
 

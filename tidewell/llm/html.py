@@ -1,17 +1,26 @@
 """Operator 3, HTML extraction: wrappers by union-free regular-expression inference.
 
-A page is a stream of tags and text slots.  Adjacent repetitions of a group of tokens become one repeated group.  Streams of one
-host are aligned one after the other: tokens that both have stay, a text that differs becomes a slot, tokens that only one
-has become optional.  The result is a union-free expression, the host's wrapper, with the share of pages that have each
-token.  Wrappers align with wrappers in the same way, so every task folds its own pages and the partial wrappers of a host
-meet by aggregation in two steps; no task sees all pages of a host, and every page counts.
-
-Extraction: the main region is the page's article elements, or else main, or else the body.  Elements whose tag, role or
-class says menu, header, footer, sidebar, notice, advert, form or comments are cut from it.  Where only the body is left to
-go by, texts that the host's wrapper holds as constants are template and go too, if the wrapper rests on LEAST_PAGES pages.
-
-Defined cases: null or empty html gives the empty text.  Unclosed tags end with their parent or the page.  Pages without a
-host have no wrapper.  Repeated rows are extracted alike.  An empty table gives an empty result.
+A page is a stream of tags and texts.  Streams of one host are aligned element by element: tokens at the same path of
+labels (tag, classes, role) align.  A child that some of its parents lack becomes optional, one that a parent has several
+times in a row becomes a repeated group, and a text that differs from page to page becomes a slot.  The result is a
+union-free expression, the host's wrapper.  Merging two wrappers adds counts, takes maxima, and keeps a constant only if
+both sides have it, so it is associative and commutative: pages may come in any order, in any number of partial wrappers,
+and no page, host or token is left out.  Aligning by path takes one pass over the tokens.
+
+The wrapper decides every page: its slots are marked, and a page yields the texts that meet marked slots, nothing else.
+Slots below an element whose tag, role or class says menu, header, footer, sidebar, notice, advert, form or comments are
+not marked.  Of the others, those inside article elements are the main text, unless the content elements (main, or a
+container whose class says content) hold more than twice as much text over the whole host: then the articles are teasers
+and the content is.  A page without the chosen kind falls back to the other one, then to all unmarked-out slots of the
+body; of these, texts that are the same on at least half of the host's pages (and two pages at least) are template and
+go, provided the slots that do differ hold a quarter of the text at least (else the pages are copies, not a template).
+
+Each task folds its own pages; the partial wrappers of a host meet in two streaming steps.  Pages then meet the marks of
+their host in one exchange, in which hosts with any share of the pages are cut into parts.
+
+Defined cases: null or empty html gives the empty text.  Unclosed tags end with their parent or the page.  A page without
+a host has a wrapper of its own.  Repeated rows are extracted alike.  Very long pages are read whole, one at a time.  An
+empty table gives an empty result.  Columns other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +29,6 @@ import html as _html
 import json
 import re
 import zlib
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,14 +36,10 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .batches import slices
-from .common import cut, join_groups, table
+from .common import cut, salted, table
 
-LEAST_PAGES = 5
-#: Optional tokens on fewer than 1 / RARE of a wrapper's pages are dropped; a page's own copy of them then counts as unmatched.
-RARE = 100
-#: Hosts a task holds before it hands on what it has; it bounds memory only.
-HOSTS = 2_000
-GROUP = 12
+#: Wrapper nodes a task holds before it hands on what it has; it bounds memory only.
+NODES = 200_000
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
@@ -44,12 +48,23 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 _CUT_TAGS = {"nav", "footer", "aside", "form", "head", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video", "map", "datalist", "fieldset"}
 _CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
+#: What the last telling word of a class or id says is no part of an article.
 _CUT_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "notice", "notices", "cookie",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "masthead", "footer", "sidebar", "notice", "notices", "cookie", "search",
     "cookies", "consent", "gdpr", "comment", "comments", "disqus", "respond", "replies", "share", "sharing", "social", "related", "newsletter", "subscribe", "subscription", "popup", "modal", "overlay", "login", "signup", "widget", "widgets", "pagination", "pager", "toolbar",
 }
-_IMPLIED = {"p", "li", "dd", "dt", "tr", "td", "th", "option"}
+#: Words that say where or how, not what: "footer-left" is a footer, "notice-period" is no notice.
+_PLACE_WORDS = {"left", "right", "top", "bottom", "wrapper", "wrap", "container", "box", "area", "block", "section", "list", "inner", "outer", "bar", "links", "link", "items", "item", "buttons", "button", "icons", "form", "slot", "unit", "placeholder", "zone", "label", "main", "primary", "secondary", "panel", "group", "row", "col", "mobile", "desktop", "header", "footer", "title", "text"}
+_CONTENT_WORDS = {"content", "article", "post", "entry", "story", "main"}
+_FURTHER = {"posts", "articles", "stories", "content", "news", "reading"}
+_CONTAINERS = {"div", "section", "td", "center"}
+_IMPLIED = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+_TOGETHER = [{"dd", "dt"}, {"td", "th"}]
+#: Elements that may stand in a paragraph only as its end.
+_ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SPLIT_CLASS = re.compile(r"[^a-z0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+ARTICLE, CONTENT, BODY = "article", "content", "body"
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -81,167 +96,241 @@ def tokens(page: str):
             yield "close", name, ""
 
 
-def cut_away(name: str, attrs: str, in_article: bool) -> bool:
-    """Whether an element is no part of an article."""
-    if name in _RAW or name in _CUT_TAGS or (name == "header" and not in_article):
-        return True
-    if len(attrs) < 3 or name in ("html", "body", "article", "main"):
-        return False
-    a = attributes(attrs)
-    if not a:
-        return False
-    if a.get("role", "").lower() in _CUT_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
-        return True
-    said = set(_SPLIT_CLASS.split((a.get("class", "") + " " + a.get("id", "")).lower()))
-    return bool(said & _CUT_WORDS) or ("header" in said and not in_article)
-
-
-def regions(page: str) -> dict[str, list[tuple[str, int]]]:
-    """Texts of article, main and body as (text, token number); ("", -1) stands for a block boundary."""
-    out: dict[str, list[tuple[str, int]]] = {"article": [], "main": [], "body": []}
-    depth = {"article": 0, "main": 0}
-    seen = set()
-    skip, level = "", 0
-    for number, (kind, name, rest) in enumerate(tokens(page)):
-        if skip:
-            if skip in _IMPLIED and ((kind == "open" and name == skip) or (kind == "close" and name != skip and name not in _INLINE and name not in _IMPLIED)):
-                skip = ""  # its end tag was left out
-            else:
-                if name == skip:
-                    level += 1 if kind == "open" and not rest.endswith("/>") else -1 if kind == "close" else 0
-                    if level == 0:
-                        skip = ""
-                continue
-        if kind == "text":
-            item = (rest, number)
-        else:
-            if kind == "open" and name not in _VOID and cut_away(name, rest, depth["article"] > 0):
-                if not rest.endswith("/>") or name in _RAW:
-                    skip, level = name, 1
-                item = ("", -1)
-            else:
-                where = name if name in depth else "main" if kind == "open" and "role" in rest and attributes(rest).get("role", "").lower() == "main" else None
-                if where and kind == "open":
-                    depth[where] += 1
-                    seen.add(where)
-                elif name in depth and kind == "close":
-                    depth[name] = max(0, depth[name] - 1)
-                if name in _INLINE:
-                    continue
-                item = ("", -1)
-        out["body"].append(item)
-        for r in depth:
-            if depth[r]:
-                out[r].append(item)
-    for r in ("article", "main"):
-        if r not in seen:
-            del out[r]
-    return out
-
-
-def render(items: list[tuple[str, int]]) -> str:
-    """Text of a region: references decoded, white space [\\x20\\x09-\\x0D]+ as one space, blocks joined by one space."""
-    text = "".join(" " if n < 0 else _html.unescape(t) for t, n in items)
-    return b" ".join(text.encode("utf-8", "replace").split()).decode()
+def _words(name: str) -> list[str]:
+    return [w for w in _SPLIT_CLASS.split(_CAMEL.sub("-", name).lower()) if w and not w[0].isdigit()]
 
 
-# Wrappers: lists of [key, text or None, pages]; key is a tag, "#" for a text, or a tuple of keys for a repeated group.
+def _head(words: list[str]) -> list[str]:
+    """Words up to the last telling one."""
+    n = len(words)
+    while n > 1 and words[n - 1] in _PLACE_WORDS:
+        n -= 1
+    return words[:n]
 
 
-def stream(page: str) -> list[list]:
-    """The page as a wrapper of one page; numbers of its text tokens are in place 3."""
-    flat = []
-    for number, (kind, name, rest) in enumerate(tokens(page)):
-        if kind == "text":
-            if not rest.isspace():
-                flat.append(["#", zlib.crc32(" ".join(rest.split()).encode()), 1, [number]])
-        elif name not in _INLINE:
-            flat.append([("/" if kind == "close" else "") + name, None, 1, []])
-    out: list[list] = []
-    keys: list = []
-    for node in flat:
-        out.append(node)
-        keys.append(node[0])
-        squeezed = True
-        while squeezed:
-            squeezed = False
-            last = keys[-1]
-            for k in range(1, min(GROUP, len(keys) - 1) + 1):
-                before = keys[-k - 1]
-                if isinstance(before, tuple) and len(before) == k and before == tuple(keys[-k:]):  # one more of a group
-                    group = out[-k - 1]
-                    group[3] = group[3] + [i for x in out[-k:] for i in x[3]]
-                    del out[-k:], keys[-k:]
-                    squeezed = True
-                    break
-                if k >= 2 and before == last and len(keys) >= 2 * k and keys[-2 * k : -k] == keys[-k:]:
-                    tail = tuple(keys[-k:])
-                    out[-2 * k :] = [[tail, None, 1, [i for x in out[-2 * k :] for i in x[3]]]]
-                    keys[-2 * k :] = [tail]
-                    squeezed = True
-                    break
-    return out
-
-
-def align(a: list[list], b: list[list]) -> list[tuple[int | None, int | None]]:
-    """Pairs of positions; None where only one side has a token."""
-    x, y = [n[0] for n in a], [n[0] for n in b]
-    head = 0
-    while head < min(len(x), len(y)) and x[head] == y[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
-        tail += 1
-    ends = [(len(x) - tail + k, len(y) - tail + k) for k in range(tail)]
-    out: list[tuple[int | None, int | None]] = [(k, k) for k in range(head)]
-    x, y = x[head : len(x) - tail], y[head : len(y) - tail]
-    if not x or not y:
-        return out + [(head + k, None) for k in range(len(x))] + [(None, head + k) for k in range(len(y))] + ends
-    i = j = 0
-    for m in SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
-        out += [(head + k, None) for k in range(i, m.a)] + [(None, head + k) for k in range(j, m.b)]
-        out += [(head + m.a + k, head + m.b + k) for k in range(m.size)]
-        i, j = m.a + m.size, m.b + m.size
-    return out + ends
-
-
-def merge(a: dict, b: dict) -> dict:
-    """Two wrappers {"pages", "nodes"} as one."""
-    pages = a["pages"] + b["pages"]
-    nodes = []
-    for i, j in align(a["nodes"], b["nodes"]):
-        if i is not None and j is not None:
-            p, q = a["nodes"][i], b["nodes"][j]
-            nodes.append([p[0], p[1] if p[1] == q[1] else None, p[2] + q[2]])
-        else:
-            nodes.append(list(a["nodes"][i] if i is not None else b["nodes"][j]))
-    return {"pages": pages, "nodes": nodes}
+def says(name: str, vocabulary: set[str]) -> bool:
+    """Whether a class or id names one of the vocabulary's things."""
+    words = _words(name)
+    head = _head(words)
+    for w in (words, head):
+        if w and (w[-1] in vocabulary or "".join(w[-2:]) in vocabulary):
+            return True
+    return vocabulary is _CUT_WORDS and len(head) > 1 and head[0] == "related" and head[-1] in _FURTHER
+
+
+def describe(name: str, attrs: str) -> tuple[str, bool, bool, str | None]:
+    """(label, cut, cut outside of articles, kind) of an element."""
+    a = attributes(attrs) if len(attrs) > 2 else {}
+    role = a.get("role", "").lower()
+    classes = [c for c in (a.get("class", "") + " " + a.get("id", "")).split() if c]
+    label = ".".join([name, *sorted({re.sub(r"\d+", "0", c) for c in classes})]) + (f"@{role}" if role else "")
+    if name in ("html", "body"):
+        return label.replace("/", "_"), False, False, None
+    cut = name in _RAW or name in _CUT_TAGS or role in _CUT_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or any(says(c, _CUT_WORDS) for c in classes)
+    header = name == "header" or any(says(c, {"header"}) for c in classes)
+    kind = ARTICLE if name == "article" else CONTENT if name == "main" or role == "main" or (name in _CONTAINERS and any(says(c, _CONTENT_WORDS) for c in classes)) else None
+    return label.replace("/", "_") + ("!" if "hidden" in a else ""), cut, header, kind
+
+
+_DESCRIBED: dict[tuple[str, str], tuple] = {}
+
+
+def _describe(name: str, attrs: str) -> tuple:
+    key = (name, attrs)
+    found = _DESCRIBED.get(key)
+    if found is None:
+        if len(_DESCRIBED) > 50_000:
+            _DESCRIBED.clear()
+        found = _DESCRIBED[key] = describe(name, attrs)
+    return found
+
+
+class _Open:
+    __slots__ = ("name", "path", "cut", "article", "content", "children", "n")
+
+    def __init__(self, name, path, cut, article, content):
+        self.name, self.path, self.cut, self.article, self.content = name, path, cut, article, content
+        self.children: dict[str, list[int]] = {}
+        self.n = 0
 
 
-def prune(w: dict) -> dict:
-    """A host's whole wrapper without rare tokens; earlier, a token that has yet to become frequent would go too."""
-    return {"pages": w["pages"], "nodes": [n for n in w["nodes"] if n[2] * RARE >= w["pages"]]} if w["pages"] >= RARE else w
+def _hash(text: str) -> int:
+    data = text.encode("utf-8", "replace")
+    return zlib.crc32(data) << 31 | zlib.adler32(data) & 0x7FFFFFFF
 
 
-def _tuples(x):
-    return tuple(_tuples(i) for i in x) if isinstance(x, list) else x
+# A wrapper is {path: node}; a path is its labels joined by "/", "#" for a text.  A node is a list:
+PAGES, HOLDERS, TOTAL, MOST, ORDER, MASS, SAME, WHERE = range(8)
+# pages and parents that have it, occurrences, most in one parent, sum of first places, characters, the hash of its text if
+# that never differs (else None), and for texts where they stand: "article", "content", "both", "body" or "cut".
 
 
-def load(text: str) -> dict:
-    w = json.loads(text)
-    return {"pages": w["pages"], "nodes": [[_tuples(n[0]), *n[1:]] for n in w["nodes"]]}
+def read(page: str) -> tuple[list[tuple[str, str | None]], dict[str, list], set[str]]:
+    """(items, wrapper of this page, kinds of elements that it has).  Items are (text, path); path None is a block boundary."""
+    root = _Open("", "", False, False, False)
+    stack, items, nodes, kinds = [root], [], {}, set()
 
+    def place(parent: _Open, label: str, path: str) -> list:
+        seen = parent.children.get(label)
+        if seen is None:
+            parent.children[label] = [1, parent.n]
+        else:
+            seen[0] += 1
+        parent.n += 1
+        node = nodes.get(path)
+        if node is None:
+            node = nodes[path] = [1, 0, 0, 0, 0, 0, None, ""]
+        node[TOTAL] += 1
+        return node
+
+    def close(down_to: int) -> None:
+        while len(stack) > down_to:
+            done = stack.pop()
+            for label, (count, first) in done.children.items():
+                node = nodes[f"{done.path}/{label}"]
+                node[HOLDERS] += 1
+                node[MOST] = max(node[MOST], count)
+                node[ORDER] += first
+
+    for kind, name, rest in tokens(page):
+        top = stack[-1]
+        if kind == "text":
+            if top.cut:
+                continue
+            flat = " ".join(rest.split())
+            path = top.path + "/#"
+            items.append((rest, path))
+            if flat:
+                fresh = path not in nodes
+                node = place(top, "#", path)
+                node[MASS] += len(flat)
+                h = _hash(flat)
+                node[SAME] = h if fresh or node[SAME] == h else None
+                node[WHERE] = "both" if top.article and top.content else ARTICLE if top.article else CONTENT if top.content else BODY
+        elif kind == "close":
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name == name:
+                    close(i)
+                    break
+            if name not in _INLINE:
+                items.append(("", None))
+        else:
+            label, cuts, header, sort = _describe(name, rest)
+            inline = name in _INLINE
+            if inline and not cuts:
+                continue
+            items.append(("", None))
+            if name in _VOID:
+                if not top.cut:
+                    place(top, label, f"{top.path}/{label}")
+                continue
+            if name in _ENDS_P and top.name == "p":
+                close(len(stack) - 1)
+            elif name in _IMPLIED:
+                same = next((g for g in _TOGETHER if name in g), {name})
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].name in same:
+                        close(i)
+                        break
+                    if stack[i].name in _IMPLIED[name]:
+                        break
+            top = stack[-1]
+            path = f"{top.path}/{label}"
+            off = top.cut or cuts or (header and not top.article)
+            if not off:
+                if sort:
+                    kinds.add(sort)
+            if not top.cut:
+                place(top, label, path)[WHERE] = "cut" if off else ""
+            if not rest.endswith("/>") or name in _RAW:
+                stack.append(_Open(name, path, off, top.article or sort == ARTICLE, top.content or sort == CONTENT))
+    close(0)
+    return items, nodes, kinds
+
+
+def merge(a: dict[str, list], b: dict[str, list]) -> dict[str, list]:
+    """Two wrappers as one; a is changed."""
+    for path, n in b.items():
+        m = a.get(path)
+        if m is None:
+            a[path] = list(n)
+            continue
+        for i in (PAGES, HOLDERS, TOTAL, ORDER, MASS):
+            m[i] += n[i]
+        m[MOST] = max(m[MOST], n[MOST])
+        m[SAME] = m[SAME] if m[SAME] == n[SAME] else None
+    return a
+
+
+def expression(w: dict[str, list]) -> str:
+    """The wrapper as a regular expression over tokens: <tag>...</tag>, #TEXT for a slot, ? optional, + repeated, * both."""
+    below: dict[str, list[str]] = {}
+    for path in w:
+        below.setdefault(path.rpartition("/")[0], []).append(path)
+
+    def show(parent: str, instances: int) -> str:
+        out = []
+        for path in sorted(below.get(parent, []), key=lambda p: (w[p][ORDER] / max(1, w[p][HOLDERS]), p)):
+            n, label = w[path], path.rpartition("/")[2]
+            body = ("#TEXT" if n[SAME] is None else "text") if label == "#" else f"<{label}>{show(path, n[TOTAL])}"
+            how = ("*" if n[MOST] > 1 else "?") if n[HOLDERS] < instances else ("+" if n[MOST] > 1 else "")
+            out.append(f"({body}){how}" if how else body)
+        return "".join(out)
+
+    return show("", max((n[PAGES] for p, n in w.items() if p.count("/") == 1), default=0))
+
+
+def mark(w: dict[str, list], pages: int) -> dict:
+    """{"order": kinds to try, kind: paths of its marked slots} of a wrapper over so many pages."""
+    texts = {p: n for p, n in w.items() if p.endswith("/#") and n[WHERE] in ("both", ARTICLE, CONTENT, BODY)}
+    mass = lambda *where: sum(n[MASS] for n in texts.values() if n[WHERE] in where)
+    template = {p for p, n in texts.items() if n[SAME] is not None and n[PAGES] >= 2 and 2 * n[PAGES] >= pages}
+    if 4 * sum(texts[p][MASS] for p in template) > 3 * sum(n[MASS] for n in texts.values()):
+        template = set()
+    return {
+        "order": [CONTENT, ARTICLE] if mass(CONTENT) > 2 * mass(ARTICLE, "both") else [ARTICLE, CONTENT],
+        ARTICLE: [p for p, n in texts.items() if n[WHERE] in (ARTICLE, "both")],
+        CONTENT: [p for p, n in texts.items() if n[WHERE] in (CONTENT, "both")],
+        BODY: [p for p in texts if p not in template],
+    }
+
+
+def _load(marks: str) -> dict:
+    m = json.loads(marks)
+    return {k: v if k == "order" else set(v) for k, v in m.items()}
+
+
+def apply(page: str, marks: dict | None = None) -> str:
+    """The texts of a page that meet marked slots: references decoded, white space [\\x20\\x09-\\x0D]+ as one space, blocks joined
+    by one space.  Without marks the page's own wrapper is marked."""
+    items, nodes, kinds = read(page)
+    if marks is None:
+        marks = _load(json.dumps(mark(nodes, 1)))
+    wanted = marks[next((k for k in marks["order"] if k in kinds), BODY)]
+    text = "".join(" " if path is None or t.isspace() else _html.unescape(t) for t, path in items if path is None or path in wanted or t.isspace())
+    return b" ".join(text.encode("utf-8", "replace").split()).decode()
+
+
+def _folded(batches):
+    """Rows (host, ..., pages, wrapper) sorted by host -> one row a host; holds one wrapper at a time."""
+    host, pages, held = None, 0, {}
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([host], pa.string()), pa.array([pages], pa.int64()), pa.array([json.dumps(held)], pa.string())], names=["host", "pages", "wrapper"])
 
-def fold(wrappers: list[dict]) -> dict:
-    while len(wrappers) > 1:  # pairwise, so that neighbours of equal weight meet
-        wrappers = [merge(*wrappers[i : i + 2]) if i + 1 < len(wrappers) else wrappers[i] for i in range(0, len(wrappers), 2)]
-    return wrappers[0]
+    for b in batches:
+        for h, n, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if h != host:
+                if host is not None:
+                    yield out()
+                host, pages, held = h, 0, {}
+            pages += n
+            merge(held, json.loads(w))
+    if host is not None:
+        yield out()
 
 
-def expression(w: dict) -> str:
-    """The wrapper as a regular expression over tokens, for reading."""
-    show = lambda k: "(" + " ".join(map(show, k)) + ")+" if isinstance(k, tuple) else "#TEXT" if k == "#" else f"<{k}>"
-    return " ".join(show(k) + ("?" if n < w["pages"] else "") for k, _, n in w["nodes"])
+_WRAPPER = "host string, pages long, wrapper string"
 
 
 def infer(pages: DataFrame) -> DataFrame:
@@ -249,44 +338,43 @@ def infer(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
 
     def partial(batches):
-        held: dict[str, dict] = {}
+        held: dict[str, list] = {}
+        size = 0
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(w) for w in held.values()])], names=["host", "wrapper"])
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([json.dumps(w) for _, w in held.values()], pa.string())], names=["host", "pages", "wrapper"])
 
         for batch in batches:
             for b in slices(batch, 1):
                 for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    own = {"pages": 1, "nodes": [n[:3] for n in stream(page or "")]}
-                    held[host] = merge(held[host], own) if host in held else own
-                if len(held) > HOSTS:
+                    own = read(page or "")[1]
+                    if host in held:
+                        size -= len(held[host][1])
+                        held[host][0] += 1
+                        merge(held[host][1], own)
+                    else:
+                        held[host] = [1, own]
+                    size += len(held[host][1])
+                if size > NODES:
                     yield out()
                     held.clear()
+                    size = 0
         yield out()
 
-    def combine(key, t: pa.Table, last: bool = False) -> pa.Table:
-        w = fold([load(x) for x in t.column("wrapper").to_pylist()])
-        w = prune(w) if last else w
-        return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(w)]})
+    parts = pages.mapInArrow(partial, _WRAPPER).withColumn("salt", F.spark_partition_id() % 64)
+    some = parts.repartition("host", "salt").sortWithinPartitions("host", "salt").select("host", "pages", "wrapper").mapInArrow(_folded, _WRAPPER)
+    return some.repartition("host").sortWithinPartitions("host").mapInArrow(_folded, _WRAPPER)
 
-    parts = pages.mapInArrow(partial, "host string, wrapper string").withColumn("salt", F.spark_partition_id() % 64)
-    some = parts.groupBy("host", "salt").applyInArrow(lambda key, t: combine(key, t.select(["wrapper"])), "host string, wrapper string")
-    whole = some.groupBy("host").applyInArrow(lambda key, t: combine(key, t.select(["wrapper"]), True), "host string, wrapper string")
-    return whole.select("host", F.get_json_object("wrapper", "$.pages").cast("long").alias("pages"), "wrapper")
 
+def marked(wrappers: DataFrame) -> DataFrame:
+    """host, pages, marks (JSON) of (host, pages, wrapper)."""
+
+    def run(batches):
+        for b in batches:
+            marks = [json.dumps(mark(json.loads(w), n)) for n, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(marks, pa.string())], names=["host", "pages", "marks"])
 
-def main_text(page: str, wrapper: dict | None = None) -> str:
-    """Main text of a page; the wrapper is used only if neither article nor main is there to go by."""
-    found = regions(page)
-    for r in ("article", "main"):
-        if r in found:
-            return render(found[r])
-    items = found["body"]
-    if wrapper and wrapper["pages"] >= LEAST_PAGES:
-        own = stream(page)
-        template = {t for i, j in align(wrapper["nodes"], own) if i is not None and j is not None and wrapper["nodes"][i][1] is not None and wrapper["nodes"][i][1] == own[j][1] and 2 * wrapper["nodes"][i][2] >= wrapper["pages"] for t in own[j][3]}
-        items = [("", -1) if n in template else (t, n) for t, n in items]
-    return render(items)
+    return wrappers.mapInArrow(run, "host string, pages long, marks string")
 
 
 def host_of():
@@ -297,29 +385,31 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, a row for every row of pages."""
     spark = pages.sparkSession
     ship(spark)
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    marked = F.col("html").rlike("(?i)<(article|main)[\\s>/]|role\\s*=\\s*[\"']?main")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("host", F.nullif(host_of(), F.lit("")))
+    marks = cut(marked(infer(rows.where("host is not null").select("host", "html"))), "marks")
+    kind = rows.schema["page_id"].dataType
+    left, right = salted(rows, marks, ["host"], "pages", rows.count(), F.xxhash64("page_id", "url"))
+    none = lambda t: F.lit(None).cast(t)
+    left = left.select("host", F.col("_tw_s").alias("part"), F.lit(1).alias("turn"), "page_id", "url", "html", none("string").alias("marks"))
+    right = right.select("host", F.col("_tw_s").alias("part"), F.lit(0).alias("turn"), none(kind).alias("page_id"), none("string").alias("url"), none("string").alias("html"), "marks")
+    # The marks of a host come right before its pages, once a part, rather than beside each page.
+    met = left.unionByName(right).repartition("host", "part").sortWithinPartitions("host", "part", "turn")
 
     def run(batches):
-        loaded: dict[str, dict] = {}
+        host, current = None, None
         for batch in batches:
-            for b in slices(batch, 2):
-                texts = []
-                for page, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                    if w and w not in loaded:
-                        if len(loaded) > HOSTS:
-                            loaded.clear()
-                        loaded[w] = load(w)
-                    texts.append(main_text(page, loaded[w] if w else None))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    schema = rows.select("page_id", "url").schema.add("text", "string")
-    direct = rows.where(marked).withColumn("wrapper", F.lit(None).cast("string"))
-    # Pages that say where their article is need no wrapper and no exchange; the others meet their host's.
-    wrappers = cut(infer(rows.select(host_of().alias("host"), "html").where("host <> ''")), "wrappers")
-    others = rows.where(~marked).withColumn("host", host_of())
-    joined = join_groups(others, wrappers, ["host"], "pages", rows.count(), F.xxhash64("page_id", "url")).select("page_id", "url", "html", "wrapper")
-    return direct.unionByName(joined).mapInArrow(run, schema)
+            for b in slices(batch, 5):
+                keep, texts = [], []
+                for i, (h, turn, page, m) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(5).to_pylist(), b.column(6).to_pylist())):
+                    if turn == 0:
+                        host, current = h, _load(m)
+                    else:
+                        keep.append(i)
+                        texts.append(apply(page, current if h is not None and h == host else None))
+                own = b.take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([own.column(3), own.column(4), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+    return met.mapInArrow(run, rows.select("page_id", "url").schema.add("text", "string"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
