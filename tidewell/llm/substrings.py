@@ -1,27 +1,34 @@
 """Operator 5, substring dedup: relative Lempel-Ziv parsing against indexed reference blocks.
 
-The reference is the corpus itself, read in order of doc_id and position.  Its index is cut into blocks by seed: a seed is
-the minimizer of a window (the least of its 15 hashes of 6 consecutive words), so equal windows, wherever they occur, have
-equal seeds and meet in one block.  A document is parsed against every block that holds one of its seeds: the windows
-under a seed become maximal runs (factors) of windows that start earlier in the reference.  Factors from different blocks
-meet at their boundaries: each window is checked there, so a duplicate passage that runs over a boundary loses no word.
-A factor of at least WINDOW words is a duplicate span.
+The reference is the corpus itself, read in order of doc_id and position.  Its index says where a window (WINDOW words)
+starts earlier; it is cut into blocks by seed: a seed is the minimizer of a window (the least of its 15 hashes of 6
+consecutive words), so equal windows, wherever they occur, have equal seeds and meet in one block.  A document is looked up
+in every block that holds one of its seeds; the other blocks can't hold a window of it.  So every document is parsed
+against the whole reference without meeting every block, which would be all pairs.
+
+The parse is greedy from left to right: at a word whose window starts earlier, the factor takes its source from the index
+and goes on as long as the index names the next place of the same source; its words are skipped, and the parse goes on
+behind it.  A factor has WINDOW words at least.  At its end the windows that reach over the boundary are looked up one by
+one, so a duplicate passage that runs over a boundary loses no word.  Words of factors and of boundary windows are the
+duplicate spans.
 
 Three phases keep what moves small, however the copies are spread:
 
 1. Seeds (a seventh of the windows) meet their index block; those found once are done with.  Within a task only the first
    occurrence of a seed goes to the exchange, so a seed brings at most one row a task, however often it occurs.
-2. Windows under repeated seeds meet their block, under 128-bit hashes, again one row a task each; all but the earliest are duplicates.  A
-   later occurrence in the same task is known to be one without any exchange and travels as a run.
+2. Windows under repeated seeds meet their block, under 128-bit hashes, again one row a task each; all but the earliest are
+   duplicates, and the earliest is their source.  A later occurrence in the same task is known to be one without any
+   exchange, has the task's first as its source, and travels as a run.
 3. Documents meet their duplicate runs, from one table bucketed by doc_id that both joins read without an exchange.
 
-Texts that are equal word for word come first: every window of a later copy starts earlier in the first, so copies never
-take part.
+Texts that are equal word for word come first: every window of a later copy starts earlier in the first, so a copy is one
+factor and never takes part.
 
-Defined cases: null text has no words.  A text of fewer than WINDOW words loses nothing.  Rows with a null doc_id have no
-place in the order: they lose nothing and no other row loses words to them.  Rows that share a doc_id and text are copies of one
-another in an unspecified order: one of them stays.  Rows that share a doc_id with different texts are documents of their own, in
-the order of a digest.  An empty table gives an empty result.
+Defined cases: null text has no words.  A text of fewer than WINDOW words loses nothing.  Very long texts are handled whole,
+one at a time.  Rows with a null doc_id have no place in the order: they lose nothing and no other row loses words to them.
+Rows that share a doc_id and text are copies of one another in an unspecified order: one of them stays.  Rows that share a
+doc_id with different texts are documents of their own, in the order of a digest.  Columns other than doc_id and text are
+ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -64,22 +71,14 @@ def long_windows(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 #: Positions carry above these bits which of the texts of a doc_id they belong to.
 SHIFT = 32
-
-
-def _own(at: list[int], nth: int) -> np.ndarray:
-    """Which of the positions belong to the nth text of the doc_id."""
-    return np.array(at, np.int64) >> SHIFT == nth
-
-
-def _within(at: list[int]) -> np.ndarray:
-    return np.array(at, np.int64) & ((1 << SHIFT) - 1)
+_WITHIN = (1 << SHIFT) - 1
 
 
 class _Firsts:
     """Gathers (key, doc, pos) and releases them so that of equal keys only the first goes to the exchange.
 
-    Released rows: key columns, doc, pos, known.  known 0: the first of its key here, to be routed by key.  known 1: a later
-    one, whose key occurs earlier in this task; it needs no exchange.
+    Released rows: key columns, doc, pos, known, and doc and pos of the key's first here.  known 0: the first of its key, to
+    be routed by key.  known 1: a later one, whose key occurs earlier in this task; it needs no exchange.
     """
 
     def __init__(self):
@@ -104,7 +103,8 @@ class _Firsts:
         for k in columns[: len(keys)]:
             same &= k[1:] == k[:-1]
         known[1:] = same
-        yield (*columns, known)
+        first = np.maximum.accumulate(np.where(known, 0, np.arange(len(order))))
+        yield (*columns, known, columns[-2][first], columns[-1][first])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def _seed_rows(batches):
     gather = _Firsts()
 
     def out():
-        for seed, doc, pos, known in gather.release():
+        for seed, doc, pos, known, *_ in gather.release():
             repeated = np.zeros(len(seed), bool)
             repeated[:-1] = known[1:]  # a first whose key occurs again is as repeated as the later ones
             yield pa.RecordBatch.from_arrays([pa.array(seed.view(np.int64)), pa.array(doc), pa.array(pos), pa.array(known), pa.array(repeated)], names=["seed", "doc_id", "pos", "known", "repeated"])
@@ -139,14 +139,15 @@ def _seed_rows(batches):
     yield from out()
 
 
-def _runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of documents as maximal runs (doc, start, length)."""
+def _runs(doc: np.ndarray, pos: np.ndarray, from_doc: np.ndarray, from_pos: np.ndarray) -> pa.RecordBatch:
+    """Windows with their sources as maximal runs (doc_id, pos, length, from_doc, from_pos) that go on in both places."""
     order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
+    doc, pos, from_doc, from_pos = doc[order], pos[order], from_doc[order], from_pos[order]
     new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (from_doc[1:] != from_doc[:-1]) | (from_pos[1:] != from_pos[:-1] + 1)
     at = np.flatnonzero(new)
-    return doc[at], pos[at], np.diff(np.concatenate([at, [len(doc)]])).astype(np.int32)
+    length = np.diff(np.concatenate([at, [len(doc)]])).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(pos[at]), pa.array(length), pa.array(from_doc[at]), pa.array(from_pos[at])], names=["doc_id", "pos", "length", "from_doc", "from_pos"])
 
 
 def _marked(batches, keys: int):
@@ -181,15 +182,16 @@ def _repeated_seeds(batches):
 def _window_rows(batches):
     """(doc_id, text, at: positions of repeated seeds, nth) -> windows under them; known ones as runs with length > 0."""
     gather = _Firsts()
-    names = ["w1", "w2", "doc_id", "pos", "length"]
+    names = ["w1", "w2", "doc_id", "pos", "length", "from_doc", "from_pos"]
 
     def out():
-        for a, b, doc, pos, known in gather.release():
-            d, p, n = _runs(doc[known], pos[known])
-            zero = np.zeros(len(d), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(zero), pa.array(zero), pa.array(d), pa.array(p), pa.array(n)], names=names)
+        for a, b, doc, pos, known, from_doc, from_pos in gather.release():
+            runs = _runs(doc[known], pos[known], from_doc[known], from_pos[known])
+            zero = pa.array(np.zeros(runs.num_rows, np.int64))
+            yield pa.RecordBatch.from_arrays([zero, zero, *runs.columns], names=names)
             free = ~known
-            yield pa.RecordBatch.from_arrays([pa.array(a[free].view(np.int64)), pa.array(b[free].view(np.int64)), pa.array(doc[free]), pa.array(pos[free]), pa.array(np.zeros(int(free.sum()), np.int32))], names=names)
+            zero = pa.array(np.zeros(int(free.sum()), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(a[free].view(np.int64)), pa.array(b[free].view(np.int64)), pa.array(doc[free]), pa.array(pos[free]), zero.cast(pa.int32()), zero, zero], names=names)
 
     for batch in batches:
         for b in slices(batch, 1):
@@ -202,7 +204,8 @@ def _window_rows(batches):
                     continue
                 _, at = seeds(h1[s])
                 hit = np.zeros(int(w.counts[i]) + 1, bool)
-                hit[_within(found[i])[_own(found[i], nth[i])]] = True
+                seen = np.array(found[i], np.int64)
+                hit[seen[seen >> SHIFT == nth[i]] & _WITHIN] = True
                 take = np.flatnonzero(hit[at])
                 a, c = long_windows(h1[s], h2[s])
                 gather.add(a[take], c[take], np.full(len(take), ids[i]), take + (nth[i] << SHIFT))
@@ -212,33 +215,53 @@ def _window_rows(batches):
 
 
 def _duplicate_windows(batches):
-    """Rows (w1, w2, doc_id, pos) sorted so -> runs (doc_id, start, length) of windows that start earlier elsewhere."""
-    kept, n = [], 0
-
-    def out():
-        d, p, length = _runs(np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept]))
-        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(length)], names=["doc_id", "pos", "length"])
-
+    """Rows (w1, w2, doc_id, pos) sorted so -> runs of windows that start earlier elsewhere, with their sources."""
+    kept, n, first = [], 0, (np.int64(0), np.int64(0))
     for columns, same in _marked(batches, 2):
-        kept.append((columns[2][same], columns[3][same]))
+        doc, pos = columns[2], columns[3]
+        at = np.maximum.accumulate(np.where(same, -1, np.arange(len(same))))
+        from_doc, from_pos = np.where(at < 0, first[0], doc[at]), np.where(at < 0, first[1], pos[at])
+        first = (from_doc[-1], from_pos[-1])
+        kept.append((doc[same], pos[same], from_doc[same], from_pos[same]))
         n += int(same.sum())
         if n > GATHER:
-            yield out()
+            yield _runs(*map(np.concatenate, zip(*kept)))
             kept, n = [], 0
     if n:
-        yield out()
+        yield _runs(*map(np.concatenate, zip(*kept)))
+
+
+def parse(starts: np.ndarray, lengths: np.ndarray, from_doc: np.ndarray, from_pos: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, doc_id of the source, start there) of a document, from its runs of duplicate windows."""
+    out: list[tuple[int, int, int, int]] = []
+    end = last = 0  # the parse stands at word `end`; window `last` is the next that the open factor would take
+    for i in np.argsort(starts).tolist():
+        s, n, d, p = int(starts[i]), int(lengths[i]), int(from_doc[i]), int(from_pos[i])
+        if out and s == last and out[-1][2] == d and out[-1][3] + (s - out[-1][0]) == p:  # the same source goes on
+            a, w, d, p0 = out[-1]
+            out[-1], last = (a, w + n, d, p0), s + n
+            end = a + w + n
+            continue
+        skip = max(0, end - s)
+        if skip < n:
+            out.append((s + skip, n - skip + WINDOW - 1, d, p + skip))
+            end, last = s + n + WINDOW - 1, s + n
+    return out
 
 
 def _cover(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """Words covered by the windows that start in the runs: factors, joined at their boundaries."""
+    """Words covered by the windows that start in the runs: those of the factors and of the windows over their boundaries."""
     step = np.zeros(n + 1, np.int64)
     np.add.at(step, starts, 1)
     np.add.at(step, np.minimum(starts + lengths + WINDOW - 1, n), -1)
     return np.cumsum(step[:-1]) > 0
 
 
+_RUN = "doc_id long, pos long, length int, from_doc long, from_pos long"
+
+
 def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, runs): texts is (doc_id, text, copy, nth), bucketed by doc_id; runs is (doc_id, starts, lengths) of duplicate windows."""
+    """(texts, runs): texts is (doc_id, text, copy, nth, first), bucketed by doc_id; runs is (doc_id, runs) of duplicate windows."""
     spark = docs.sparkSession
     ship(spark)
     rows = _texts(docs)
@@ -247,12 +270,12 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = cut(rows.where("doc_id is not null").select("doc_id", F.md5(words).alias("key")), "keys")
     firsts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     total = keyed.count()
-    copies = join_groups(keyed, firsts, ["key"], "n", total, F.xxhash64("doc_id")).where("doc_id > first").select("doc_id", "key", F.lit(True).alias("copy"), F.lit(0).alias("nth"))
+    copies = join_groups(keyed, firsts, ["key"], "n", total, F.xxhash64("doc_id")).where("doc_id > first").select("doc_id", "key", F.lit(True).alias("copy"), F.lit(0).alias("nth"), "first")
     # Ids of several rows: their different texts are numbered.
     shared = keyed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     several = join_groups(keyed, shared, ["doc_id"], "rows", total, F.xxhash64("key")).where("rows is not null").select("doc_id", "key").distinct()
-    several = several.select("doc_id", "key", F.lit(False).alias("copy"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("key")) - 1).alias("nth"))
-    known = cut(copies.unionByName(several).groupBy("doc_id", "key").agg(F.max("copy").alias("copy"), F.max("nth").alias("nth")), "copies")
+    several = several.select("doc_id", "key", F.lit(False).alias("copy"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("key")) - 1).alias("nth"), F.lit(None).cast("long").alias("first"))
+    known = cut(copies.unionByName(several).groupBy("doc_id", "key").agg(F.max("copy").alias("copy"), F.max("nth").alias("nth"), F.max("first").alias("first")), "copies")
     known = known.withColumnsRenamed({"doc_id": "_tw_id", "key": "_tw_key"})
     later = F.col("doc_id").isNotNull() & (F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("key")) > 1)
 
@@ -260,7 +283,7 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Of the rows that share doc_id and text, one stands for all.  startsWith, not equality: as a join key it would exchange the texts again."""
         t = t.withColumn("key", F.md5(words))
         t = t.join(known.hint("merge"), (F.col("doc_id") == F.col("_tw_id")) & F.col("key").startswith(F.col("_tw_key")), "left")
-        return t.select("doc_id", "text", (F.coalesce("copy", F.lit(False)) | later).alias("copy"), F.coalesce("nth", F.lit(0)).cast("long").alias("nth"))
+        return t.select("doc_id", "text", (F.coalesce("copy", F.lit(False)) | later).alias("copy"), F.coalesce("nth", F.lit(0)).cast("long").alias("nth"), F.coalesce("first", "doc_id").alias("first"))
 
     texts = bucketed(rows, "doc_id", "texts", mark)
     free_shuffles(spark)
@@ -274,40 +297,52 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = met.mapInArrow(_repeated_seeds, "doc_id long, pos long")
     at = cut(again.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "seeds")
     free_shuffles(spark)
-    wide = live.join(at, "doc_id").select("doc_id", "text", "at", "nth").mapInArrow(_window_rows, "w1 long, w2 long, doc_id long, pos long, length int")
+    wide = live.join(at, "doc_id").select("doc_id", "text", "at", "nth").mapInArrow(_window_rows, f"w1 long, w2 long, {_RUN}")
     wide = cut(wide, "windows")
     by_key = wide.where("length = 0").select("w1", "w2", "doc_id", "pos").repartition(n, "w1").sortWithinPartitions("w1", "w2", "doc_id", "pos")
-    runs = by_key.mapInArrow(_duplicate_windows, "doc_id long, pos long, length int").unionByName(wide.where("length > 0").select("doc_id", "pos", "length"))
-    runs = runs.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"), F.collect_list("length").alias("lengths"))
+    runs = by_key.mapInArrow(_duplicate_windows, _RUN).unionByName(wide.where("length > 0").drop("w1", "w2"))
+    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "length", "from_doc", "from_pos")).alias("runs"))
     return texts, cut(runs, "runs")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (kept words joined by one space), a row for every row of docs."""
+    """doc_id, n_words, n_removed, kept_text (kept words joined by one space), factors (start, words, from_doc, from_start), a row
+    for every row of docs."""
     texts, runs = duplicate_spans(docs)
     free_shuffles(docs.sparkSession)
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, factors array<struct<start: long, words: long, from_doc: long, from_start: long>>"
+    names = ["start", "words", "from_doc", "from_start"]
 
     def run(batches):
         for batch in batches:
             for b in slices(batch, 1):
                 w = Words(b.column(1))
-                removed, out = [], []
-                starts, lengths = b.column(3).to_pylist(), b.column(4).to_pylist()
-                copy, nth = b.column(2).to_pylist(), b.column(5).to_numpy()
+                removed, out, factors = [], [], []
+                copy, nth, first = b.column(2).to_pylist(), b.column(4).to_numpy(), b.column(5).to_pylist()
+                lists = b.column(3)
+                flat = pc.struct_field(lists.values, "pos").to_numpy(), *(pc.struct_field(lists.values, c).to_numpy() for c in ("length", "from_doc", "from_pos"))
+                offsets, some = lists.offsets.to_numpy(), lists.is_valid().to_pylist()
                 raw = w.data.tobytes()
                 for i in range(b.num_rows):
-                    words, n = raw[w.at[i] : w.at[i + 1]].split(), int(w.counts[i])
+                    words, n, found = raw[w.at[i] : w.at[i + 1]].split(), int(w.counts[i]), []
                     if copy[i] and n >= WINDOW:
-                        words = []
-                    elif starts[i] and (own := _own(starts[i], nth[i])).any():
-                        gone = _cover(_within(starts[i])[own], np.array(lengths[i])[own], n)
-                        words = [x for x, g in zip(words, gone.tolist()) if not g]
+                        words, found = [], [(0, n, first[i], 0)]
+                    elif some[i]:
+                        pos, length, from_doc, from_pos = (x[offsets[i] : offsets[i + 1]] for x in flat)
+                        own = pos >> SHIFT == nth[i]
+                        if own.any():
+                            pos, length = pos[own] & _WITHIN, length[own]
+                            found = parse(pos, length, from_doc[own], from_pos[own] & _WITHIN)
+                            gone = _cover(pos, length, n)
+                            words = [x for x, g in zip(words, gone.tolist()) if not g]
                     removed.append(n - len(words))
                     out.append(b" ".join(words).decode())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+                    factors.append([dict(zip(names, f)) for f in found])
+                kind = pa.list_(pa.struct([(c, pa.int64()) for c in names]))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string()), pa.array(factors, kind)], names=["doc_id", "n_words", "n_removed", "kept_text", "factors"])
 
-    both = texts.join(runs, "doc_id", "left").select("doc_id", "text", "copy", "starts", "lengths", "nth")
-    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+    both = texts.join(runs, "doc_id", "left").select("doc_id", "text", "copy", "runs", "nth", "first")
+    return both.mapInArrow(run, schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
