@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every vertex to its smallest neighbour, follows those pointers, and contracts the edges; at least half
     of the vertices that still have edges vanish a round, so rounds are logarithmic and stars take one.  Rounds are tables
-    in the shared folder; the driver sees only whether edges are left.
+    in the shared folder; the driver sees only whether edges are left.  A hub makes one key of a join's left side hot, whose
+    right side has one row a key; Spark's adaptive skew join splits such a partition of the left side.
     """
     e = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = e.select(F.explode(F.array("a", "b")).alias("v")).distinct().select("v", F.col("v").alias("root"))

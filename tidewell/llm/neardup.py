@@ -1,21 +1,28 @@
 """Operator 9, near-duplicate documents: chosen-path set similarity join.
 
-A document is its set of distinct shingles, of 3 words unless the caller asks for another length.  Documents with equal sets become one class first.  Classes carry T
-minwise tokens.  In each of several independent trees a node chooses two token positions and branches its members by the
-tokens they have there; nodes of at most LIMIT members are compared exhaustively by their tokens, larger ones branch
-again.  With similarity s a node keeps a pair on a branch with probability s, so a tree finds a pair with probability
-q = 1 - (1 - s q)^2 at any depth: 0.969 at 0.85, where five trees miss fewer than one pair in 10^7; 0.9375 at 0.8, where it
-takes six.  A node that keeps most of its
-parent's members is dense (copies of one another): it is taken as one candidate group as it is.
+A document is its set of distinct shingles, of 3 words unless the caller asks for another length.  Documents with equal sets
+become one class first.  Classes carry T minwise tokens.  In each of several trees a node chooses two token positions and
+branches its members by the tokens they have there; nodes of at most LIMIT members are compared exhaustively by their
+tokens, larger ones branch again.  With similarity s a node keeps a pair on a branch with probability s, so a tree finds a
+pair with probability q = 1 - (1 - s q)^2 at any depth: 0.969 at 0.85, where it takes five trees, and 0.9375 at 0.8, where
+it takes six, to miss fewer than one pair in 10^7 if trees were independent.  They share their T tokens below the root;
+with that, and with the bound on common tokens, about one pair in 500,000 at the threshold itself is missed, and far fewer
+above it.  A node that keeps most of its parent's members is dense (copies of one another): it is taken as one candidate
+group as it is.
 
 The comparisons make candidate groups; they only have to be supersets of the true components.  Within a group, links are
 confirmed on the full shingle sets, every pair that could reach the threshold and isn't already connected, so no link is
-lost to the order of comparison.  A group beyond GROUP_SHINGLES or GROUP_MEMBERS is cut into blocks, and each pair of
-blocks is a task of its own.  Links are kept as forests; components() joins them across groups and blocks.
+lost to the order of comparison.  A group beyond GROUP_SHINGLES or GROUP_MEMBERS first meets a few leaders, one after the
+other, each compared with all members that no leader has linked yet: of a true cluster that takes most members, at the
+cost of one comparison each.  Then the group is cut into blocks, and each pair of blocks is a task of its own, but for pairs
+of blocks that one leader links, which are connected already.  Links are kept as forests; components() joins them across
+groups and blocks.  What stays quadratic are large groups whose members are alike enough to be candidates (about 0.6) and
+mostly not linked; no pair of them is left out.
 
 Defined cases: null or wordless text has n_shingles 0 and is its own component.  One or two words make one shingle.
 Repeated rows and equal texts share a class, however many there are.  Rows that share a doc_id count as one document.
-A row with a null id takes the smallest id of its class, and stays (kept) only if the class has none.
+A row with a null id takes the smallest id of its class, and stays (kept) only if the class has none.  Very long texts are
+handled whole, one at a time.  Columns other than doc_id and text are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,6 +46,7 @@ DENSE = 0.6  # a node with this share of its parent's members is a candidate gro
 #: Chance that the trees miss a pair at the threshold; standard deviations that a candidate's common tokens may lie below the mean of such a pair.
 MISSED, BELOW = 1e-7, 6.4
 GROUP_SHINGLES, GROUP_MEMBERS = 2_000_000, 4_000
+LEADERS = 3
 THRESHOLD = (85, 100)
 SHINGLE = 3
 
@@ -167,8 +175,7 @@ def confirm(sets: list[np.ndarray], block: np.ndarray, threshold: tuple[int, int
     size, block = size[order], block[order]
     start = np.cumsum(size) - size
     two = len(np.unique(block)) > 1
-    parent, out = list(range(n)), []
-    root = np.arange(n)
+    out, root = [], np.arange(n)
     mark = np.zeros(int(token.max()) + 1 if len(token) else 1, dtype=bool)
     for i in range(n - 1):
         most = int(np.searchsorted(size, size[i] * den // num, side="right"))  # the larger set may have size * den / num at most
@@ -187,14 +194,10 @@ def confirm(sets: list[np.ndarray], block: np.ndarray, threshold: tuple[int, int
         else:
             common = np.add.reduceat(mark[token[start[i + 1] : start[most - 1] + size[most - 1]]], start[i + 1 : most] - start[i + 1], dtype=np.int64)[js - i - 1]
         mark[own] = False
-        joined = len(out)
         for j in js[den * common >= num * (size[i] + size[js] - common)].tolist():
-            x, y = _find(parent, i), _find(parent, j)
-            if x != y:
-                parent[y] = x
+            if root[i] != root[j]:
+                root[root == root[j]] = root[i]
                 out.append((int(order[i]), int(order[j])))
-        if len(out) > joined:
-            root = np.array([_find(parent, k) for k in range(n)])
     return out
 
 
@@ -219,6 +222,70 @@ def _confirm(threshold, k: int):
     return run
 
 
+def _leads(threshold, k: int):
+    """Rows (rep, c1, c2, text, leader, l1, l2, leader_text) -> the links (a, b) of leaders with members."""
+    num, den = threshold
+
+    def run(batches):
+        known: tuple = (None, None)
+        for batch in batches:
+            for b in slices(batch, 3):
+                left, right = [], []
+                sets = shingle_sets(b.column(3), k)
+                rep, c1, c2, leader, l1, l2 = (b.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
+                for i, own in enumerate(sets):
+                    if rep[i] == leader[i] or digest(own) != (c1[i], c2[i]):
+                        continue
+                    if known[0] != (leader[i], l1[i], l2[i]):
+                        s = next(shingle_sets(b.column(7).slice(i, 1), k))
+                        known = ((leader[i], l1[i], l2[i]), s if digest(s) == (l1[i], l2[i]) else None)
+                    s = known[1]
+                    if s is None or min(len(s), len(own)) * den < num * max(len(s), len(own)):
+                        continue
+                    common = len(np.intersect1d(s, own, assume_unique=True))
+                    if den * common >= num * (len(s) + len(own) - common):
+                        left.append(leader[i])
+                        right.append(rep[i])
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def lead(rows: DataFrame, big: DataFrame, threshold: tuple[int, int], k: int) -> DataFrame:
+    """(a, b): links of a few leaders with members of large groups, from members (rep, c1, c2, cluster); a member is linked by one leader at most."""
+    found, left = None, big
+    for turn in range(LEADERS):
+        order = F.xxhash64("rep", F.lit(turn))
+        leaders = left.groupBy("cluster").agg(F.min_by(F.struct("rep", "c1", "c2"), order).alias("l"), F.count(F.lit(1)).alias("members"))
+        leaders = leaders.join(rows, F.col("l.rep") == F.col("doc_id")).groupBy("cluster").agg(*[F.first(x).alias(n) for x, n in (("members", "members"), ("l.rep", "leader"), ("l.c1", "l1"), ("l.c2", "l2"))], F.max("text").alias("leader_text"))
+        own = left.join(rows.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "c1", "c2", "cluster", "text")
+        met = join_groups(own, leaders, ["cluster"], "members", left.count(), F.xxhash64("rep")).select("rep", "c1", "c2", "text", "leader", "l1", "l2", "leader_text")
+        links = cut(met.where("leader is not null").mapInArrow(_leads(threshold, k), "a long, b long").distinct(), "led")
+        found = links if found is None else found.unionByName(links)
+        left = cut(left.join(links.select(F.col("b").alias("_tw_b")).union(links.select("a")).distinct(), F.col("rep") == F.col("_tw_b"), "left_anti"), "left")
+    return found
+
+
+def _blocks(big: DataFrame, led: DataFrame, pieces, total: int) -> DataFrame:
+    """Members of large groups as units of block pairs: rep, c1, c2, cluster, block, bi, bj.
+
+    A group's members fall into kinds, one a leader and one for those that none has linked (at most LEADERS + 1), and each
+    kind into blocks.  Blocks of one leader are linked by it; all others meet, each also itself.
+    """
+    none = F.lit(-(2**63))
+    by = led.select(F.col("b").alias("_tw_b"), F.col("a").alias("leader")).unionByName(led.select(F.col("a").alias("_tw_b"), F.col("a").alias("leader"))).groupBy("_tw_b").agg(F.min("leader").alias("leader"))
+    big = big.join(by, F.col("rep") == F.col("_tw_b"), "left").withColumn("leader", F.coalesce("leader", none))
+    kinds = big.groupBy("cluster", "leader").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles")).withColumn("blocks", pieces("shingles", "members"))
+    kinds = kinds.groupBy("cluster").agg(F.sum("members").alias("members"), F.array_sort(F.collect_list(F.struct("leader", "blocks"))).alias("kinds"))
+    met = join_groups(big.drop("blocks"), kinds, ["cluster"], "members", total, F.xxhash64("rep"))
+    before = F.expr("aggregate(filter(kinds, x -> x.leader < leader), 0L, (n, x) -> n + x.blocks)")
+    own = F.expr("filter(kinds, x -> x.leader = leader)[0].blocks")
+    met = met.withColumn("first", before).withColumn("blocks", own).withColumn("block", F.col("first") + F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0L, aggregate(kinds, 0L, (n, x) -> n + x.blocks) - 1)")))
+    met = met.where((F.col("leader") == none) | (F.col("other") < F.col("first")) | (F.col("other") >= F.col("first") + F.col("blocks")))
+    return met.select("rep", "c1", "c2", "cluster", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+
+
 def candidates(reps: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """Forest edges (a, b) over (rep, sig): pairs above the threshold lie in one component of them."""
     edges, level = [], 0
@@ -271,15 +338,20 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, k:
     member = group.join(classes.where("rep is not null"), F.col("v") == F.col("rep")).select("rep", "c1", "c2", "n_shingles", F.col("root").alias("cluster"))
     member = cut(member, "members")
     sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("shingles"))
-    member = join_groups(member, sizes, ["cluster"], "members", member.count(), F.xxhash64("rep"))
-    blocks = F.greatest(F.ceil(F.col("shingles") / GROUP_SHINGLES), F.ceil(F.col("members") / GROUP_MEMBERS)).cast("long")
-    member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")))
-    # With one block there is one unit (0, 0); with more, a block meets every other, and itself by way of its neighbours' units.
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    member = member.select("rep", "c1", "c2", "cluster", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    total = member.count()
+    member = join_groups(member, sizes, ["cluster"], "members", total, F.xxhash64("rep"))
+    pieces = lambda shingles, members: F.greatest(F.ceil(F.col(shingles) / GROUP_SHINGLES), F.ceil(F.col(members) / GROUP_MEMBERS)).cast("long")
+    member = cut(member.select("rep", "c1", "c2", "n_shingles", "cluster", pieces("shingles", "members").alias("blocks")), "sized")
+    one = member.where("blocks = 1").select("rep", "c1", "c2", "cluster", *[F.lit(0).cast("long").alias(c) for c in ("block", "bi", "bj")])
+    big, led = member.where("blocks > 1"), None
+    if not big.isEmpty():
+        led = lead(rows, big.select("rep", "c1", "c2", "cluster"), threshold, k)
+        one = one.unionByName(_blocks(big, led, pieces, total))
+    member = one
     # Always by exchange: members grow with the corpus, so a plan that broadcasts them on small inputs says nothing about large ones.
     units = rows.join(member.hint("merge"), F.col("doc_id") == F.col("rep")).select("cluster", "bi", "bj", "rep", "c1", "c2", "block", "text")
     links = units.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "rep").mapInArrow(_confirm(threshold, k), "a long, b long")
+    links = links if led is None else links.unionByName(led)
     comp = components(links)
     free_shuffles(spark)
     classes = classes.join(comp, F.col("rep") == F.col("v"), "left").select("c1", "c2", "n_shingles", "copies", F.coalesce("root", "rep").alias("component_id"))
