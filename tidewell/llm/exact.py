@@ -6,7 +6,8 @@ Each batch adds a generation: (digest, keep_id, group_size, fresh) of its groups
 generation had the digest.  The anti-join reads the fresh rows of each generation; totals() sums all rows of a digest.  A
 manifest, numbered and written once, names the generations that count, so a crash at any point leaves the index as it was
 before or as it is after: files that no manifest names are never read.  A manifest number can be taken once; a writer that
-comes second reads the newer manifest, and judges its batch again.  Beyond COMPACT generations they are merged into one.
+comes second reads the newer manifest, and judges its batch again.  COMPACT generations are merged into one before the next is added; tables
+read from the old ones before that must not be used any more.
 
 Defined cases: null text counts as the empty text.  Rows with a null doc_id take part in group_size and stay only if no
 row of their group has an id.  Two rows with the same id and text are both counted and both carry the same flags.  Very
@@ -108,6 +109,8 @@ class DigestIndex:
 
     def append(self, groups: DataFrame) -> DataFrame:
         """Add groups (digest, keep_id, group_size); returns them with fresh: whether the digest is new to the index."""
+        if len(self.generations()) >= self.COMPACT:
+            self.compact()
         while True:
             number, manifest = self._manifest()
             new = self.unseen(groups.select("digest"), manifest["generations"]).withColumn("fresh", F.lit(True))
@@ -116,9 +119,7 @@ class DigestIndex:
             if self._commit(number + 1, manifest | {"generations": [*manifest["generations"], generation]}):
                 break
             self._drop(generation)
-        if len(manifest["generations"]) >= self.COMPACT:
-            self.compact()
-        return self._open(generation) if generation in self.generations() else judged
+        return self._open(generation)
 
     def totals(self) -> DataFrame:
         """digest, keep_id, group_size over everything taken in."""
@@ -128,7 +129,10 @@ class DigestIndex:
             every = own if every is None else every.unionByName(own)
         if every is None:
             return self.spark.createDataFrame([], "digest string, keep_id long, group_size long")
-        return every.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        # By the raw bytes, half as long: and Spark 4.1 takes a union of bucketed scans for partitioned by the bucket column, though its
+        # columnar form isn't, so a key of its own also makes sure of the exchange.
+        whole = every.groupBy(F.unhex("digest").alias("raw")).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        return whole.select(F.lower(F.hex("raw")).alias("digest"), "keep_id", "group_size")
 
     def _drop(self, generation: str) -> None:
         self._fs.delete(self._path(f"{self.path}/gen/{generation}"), True)
