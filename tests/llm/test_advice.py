@@ -1,5 +1,6 @@
 """Whole jobs where a part was left out before."""
 
+import json
 import random
 from collections import Counter
 
@@ -59,6 +60,9 @@ def test_layout_after_a_hundred_pages_is_learned(spark):
     old = lambda i: f"<html><body><div>Old menu</div><p>Text {i}</p></body></html>"
     new = lambda i: f"<html><body><section><h4>New menu</h4></section><blockquote>Text {i}</blockquote></body></html>"
     rows = [("h", old(i) if i < 105 else new(i)) for i in range(250)]
-    w = html.load(html.infer(spark.createDataFrame(rows, "host string, html string").coalesce(1)).first().wrapper)
-    counts = {k: n for k, _, n in w["nodes"]}
-    assert w["pages"] == 250 and counts["section"] == counts["blockquote"] == 145
+    r = html.infer(spark.createDataFrame(rows, "host string, html string").coalesce(1)).first()
+    w = json.loads(r.wrapper)
+    assert r.pages == 250 and w["/html/body/section"][html.PAGES] == w["/html/body/blockquote"][html.PAGES] == 145
+    assert html.expression(w) == "<html><body>(<div>text)?(<section><h4>text)?(<blockquote>#TEXT)?(<p>#TEXT)?"
+    # On over half of the host's pages the new menu is template; both texts are slots.
+    assert [html.apply(f(7), html._load(json.dumps(html.mark(w, 250)))) for f in (old, new)] == ["Old menu Text 7", "Text 7"]

@@ -1,5 +1,6 @@
 """Operators of the subpackage beyond their queries."""
 
+import json
 import random
 
 import numpy as np
@@ -125,8 +126,8 @@ def test_wrappers(spark):
     got = {r.page_id: r.text for r in html.extract(pages).collect()}
     assert got[3] == "Text 3 of its own"
     assert "Site name" not in got[4] and "Text 4" in got[4]
-    w = html.load(html.infer(pages.selectExpr("'h' as host", "html")).first().wrapper)
-    assert w["pages"] == 12 and "#TEXT" in html.expression(w)
+    r = html.infer(pages.selectExpr("'h' as host", "html")).first()
+    assert r.pages == 12 and html.expression(json.loads(r.wrapper)) == "<html><body>(<div>(text)?(<h2>text)?(<p>#TEXT)*)+"
 
 
 def test_near_threshold_lines_are_exact(spark):
