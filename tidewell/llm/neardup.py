@@ -251,14 +251,14 @@ def _leads(threshold, k: int):
     return run
 
 
-def lead(rows: DataFrame, big: DataFrame, threshold: tuple[int, int], k: int) -> DataFrame:
-    """(a, b): links of a few leaders with members of large groups, from members (rep, c1, c2, cluster); a member is linked by one leader at most."""
-    found, left = None, big
+def lead(big: DataFrame, threshold: tuple[int, int], k: int) -> DataFrame:
+    """(a, b): links of a few leaders with members of large groups (rep, c1, c2, cluster, text); a member is linked by one leader at most."""
+    found, left = None, cut(big.select("rep", "c1", "c2", "cluster"), "left")
     for turn in range(LEADERS):
-        order = F.xxhash64("rep", F.lit(turn))
-        leaders = left.groupBy("cluster").agg(F.min_by(F.struct("rep", "c1", "c2"), order).alias("l"), F.count(F.lit(1)).alias("members"))
-        leaders = leaders.join(rows, F.col("l.rep") == F.col("doc_id")).groupBy("cluster").agg(*[F.first(x).alias(n) for x, n in (("members", "members"), ("l.rep", "leader"), ("l.c1", "l1"), ("l.c2", "l2"))], F.max("text").alias("leader_text"))
-        own = left.join(rows.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "c1", "c2", "cluster", "text")
+        leaders = left.groupBy("cluster").agg(F.min_by(F.struct("rep", "c1", "c2"), F.xxhash64("rep", F.lit(turn))).alias("l"), F.count(F.lit(1)).alias("members"))
+        leaders = leaders.join(big.select(F.col("rep").alias("_tw_r"), F.col("text").alias("leader_text")), F.col("l.rep") == F.col("_tw_r"))
+        leaders = leaders.select("cluster", "members", F.col("l.rep").alias("leader"), F.col("l.c1").alias("l1"), F.col("l.c2").alias("l2"), "leader_text").dropDuplicates(["cluster"])
+        own = big.select("rep", "c1", "c2", "cluster", "text").join(left.select("rep"), "rep", "left_semi")
         met = join_groups(own, leaders, ["cluster"], "members", left.count(), F.xxhash64("rep")).select("rep", "c1", "c2", "text", "leader", "l1", "l2", "leader_text")
         links = cut(met.where("leader is not null").mapInArrow(_leads(threshold, k), "a long, b long").distinct(), "led")
         found = links if found is None else found.unionByName(links)
@@ -341,15 +341,15 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, k:
     total = member.count()
     member = join_groups(member, sizes, ["cluster"], "members", total, F.xxhash64("rep"))
     pieces = lambda shingles, members: F.greatest(F.ceil(F.col(shingles) / GROUP_SHINGLES), F.ceil(F.col(members) / GROUP_MEMBERS)).cast("long")
-    member = cut(member.select("rep", "c1", "c2", "n_shingles", "cluster", pieces("shingles", "members").alias("blocks")), "sized")
-    one = member.where("blocks = 1").select("rep", "c1", "c2", "cluster", *[F.lit(0).cast("long").alias(c) for c in ("block", "bi", "bj")])
-    big, led = member.where("blocks > 1"), None
+    member = member.select("rep", "c1", "c2", "n_shingles", "cluster", pieces("shingles", "members").alias("blocks"))
+    # Texts meet the members once, always by exchange: members grow with the corpus, so a plan that broadcasts them on small inputs says nothing about large ones.
+    member = cut(rows.join(member.hint("merge"), F.col("doc_id") == F.col("rep")).select(*member.columns, "text"), "texts")
+    free_shuffles(spark)
+    columns = ["cluster", "bi", "bj", "rep", "c1", "c2", "block", "text"]
+    units, big, led = member.where("blocks = 1").select("*", *[F.lit(0).cast("long").alias(c) for c in ("block", "bi", "bj")]).select(*columns), member.where("blocks > 1"), None
     if not big.isEmpty():
-        led = lead(rows, big.select("rep", "c1", "c2", "cluster"), threshold, k)
-        one = one.unionByName(_blocks(big, led, pieces, total))
-    member = one
-    # Always by exchange: members grow with the corpus, so a plan that broadcasts them on small inputs says nothing about large ones.
-    units = rows.join(member.hint("merge"), F.col("doc_id") == F.col("rep")).select("cluster", "bi", "bj", "rep", "c1", "c2", "block", "text")
+        led = lead(big, threshold, k)
+        units = units.unionByName(_blocks(big.drop("text"), led, pieces, total).join(big.select(F.col("rep").alias("_tw_r"), "text"), F.col("rep") == F.col("_tw_r")).select(*columns))
     links = units.repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj", "rep").mapInArrow(_confirm(threshold, k), "a long, b long")
     links = links if led is None else links.unionByName(led)
     comp = components(links)
