@@ -6,19 +6,27 @@ class EngineError(Exception):
 
 
 class MutationError(EngineError):
-    pass
+    """A value that the engine holds was changed from outside."""
 
 
 class UntrackedReadError(EngineError):
-    """A plan reads a source that the query doesn't declare."""
+    """A plan or a function reads a source that the query doesn't declare."""
 
 
 class UnsupportedValueError(EngineError, TypeError):
-    pass
+    """A value without a canonical form."""
+
+
+class AdapterContractError(EngineError):
+    """A value adapter that doesn't give back what it took."""
 
 
 class CycleError(EngineError):
-    pass
+    """A query that needs its own answer."""
+
+
+class ReentrantDatabaseError(EngineError):
+    """A call that would change the engine while it is evaluating."""
 
 
 class CompositionError(EngineError):
@@ -37,6 +45,10 @@ class CheckpointVersionError(CheckpointError):
     pass
 
 
+class CheckpointManifestError(CheckpointError):
+    pass
+
+
 class CheckpointIntegrityError(CheckpointError):
     pass
 
@@ -53,5 +65,25 @@ class ActionPathError(ActionError):
     pass
 
 
+class ActionManifestError(ActionError):
+    pass
+
+
+class ActionLockTimeoutError(ActionError, TimeoutError):
+    pass
+
+
 class ArtifactStoreError(EngineError):
     pass
+
+
+class ArtifactStoreKeyError(ArtifactStoreError, KeyError):
+    pass
+
+
+class ArtifactStoreLockError(ArtifactStoreError, TimeoutError):
+    pass
+
+
+class SchemaGenerationError(EngineError):
+    """A schema with errors, of which nothing is generated."""
