@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """src, dst for every path: squaring until no pair is added, so rounds are logarithmic in the longest path.  With `depth`, stops
-    once paths of so many edges are in."""
-    reach, hops = edges.select("src", "dst").distinct(), 1
+    once paths of so many edges are in.  Each round is a table in the shared folder, so plans don't grow and a lost executor
+    costs nothing."""
+    reach, hops = table_of(edges.select("src", "dst").distinct()), 1
     size = reach.count()
     while depth is None or hops < depth:
         step = reach.select(F.col("src").alias("_s"), F.col("dst").alias("src")).join(reach, "src").select(F.col("_s").alias("src"), "dst")
-        reach = reach.unionByName(step).distinct()
-        reach = reach.checkpoint() if reach.sparkSession.sparkContext.getCheckpointDir() else reach.localCheckpoint()
+        reach = table_of(reach.unionByName(step).distinct())
         now = reach.count()
         if now == size:
             break
@@ -22,6 +25,24 @@ def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
     return reach
 
 
+def table_of(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again; the files go when the application ends."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = _LOCAL.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tidewell-tables-"))
+    path = f"{shared.rstrip('/')}/tidewell-rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def cycle_members(edges: DataFrame, depth: int | None = None) -> DataFrame:
     """Nodes that reach themselves."""
     return closure(edges, depth).where("src = dst").select(F.col("src").alias("node")).distinct()
@@ -58,7 +79,9 @@ def flatten_classes(bases: DataFrame, members: DataFrame, depth: int = 8) -> Dat
     reach = members.select("class").union(bases.select("class")).union(bases.select("base")).distinct().select("class", F.col("class").alias("at"), F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"))
     every = reach
     for d in range(1, depth):
-        reach = reach.join(bases.select(F.col("class").alias("at"), "base", "pos"), "at").select("class", F.col("base").alias("at"), F.lit(d).alias("depth"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path"))
+        reach = table_of(reach.join(bases.select(F.col("class").alias("at"), "base", "pos"), "at").select("class", F.col("base").alias("at"), F.lit(d).alias("depth"), F.concat("path", F.array(F.col("pos").cast("int"))).alias("path")))
+        if reach.isEmpty():
+            break
         every = every.unionByName(reach)
     found = every.join(members.select(F.col("class").alias("at"), "member"), "at")
     return first_wins(found, ["class", "member"], ["depth", "path"]).select("class", "member", F.col("at").alias("definer"), "depth")
