@@ -292,7 +292,7 @@ def duplicate_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Known rows are spread evenly; firsts meet by seed.
     route = F.when(F.col("known"), F.xxhash64("doc_id", "pos")).otherwise(F.xxhash64("seed"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = found.withColumn("r", route).repartition(n, "r").drop("r")
+    met = found.repartition(n, route)  # by the expression itself: a column for it would travel along
     met = met.select("known", "seed", "doc_id", "pos", "repeated").sortWithinPartitions("known", "seed", "doc_id", "pos")
     again = met.mapInArrow(_repeated_seeds, "doc_id long, pos long")
     at = cut(again.groupBy("doc_id").agg(F.collect_set("pos").alias("at")), "seeds")
