@@ -121,6 +121,7 @@ class Engine:
         self._request = self._span = self._clock = self._tokens = 0
         self._checked: set[str] = set()
         self._cache: dict[tuple[int, str, str], object] = {}
+        self._schemas: dict[str, object] = {}  # of own tables, so that reading one needs no look at its files
 
     # Declarations
 
@@ -161,7 +162,8 @@ class Engine:
             for inp, rows in pairs:
                 if self.inputs.get(inp.name) is not inp:
                     raise InputKeyError(f"{inp.name} isn't declared")
-                staged.append((inp.name, plan_probe(rows), *self._stage(inp.name, rows, inp.key, inp.compare, inp.eq)))
+                probe = plan_probe(rows)
+                staged.append((inp.name, probe, *self._stage(inp.name, rows, inp.key, inp.compare, inp.eq, probe=probe)))
             moved = any(m for *_, m, _ in staged)
             if moved:
                 self.revision += 1
@@ -198,13 +200,13 @@ class Engine:
                 self.request_inputs_changed()
             return bool(did)
 
-    def _stage(self, name, rows, key, compare, eq, dirty: DataFrame | None = None) -> tuple[_Step | None, bool, int]:
+    def _stage(self, name, rows, key, compare, eq, dirty: DataFrame | None = None, probe=None) -> tuple[_Step | None, bool, int]:
         """(the step that makes a table equal rows, whether it counts, changed keys).  With dirty, only these keys are compared."""
         node = self.nodes.get(name)
         fresh = hashed(rows, compare)
         if node is None or not node.steps:
             return _Step(base=self._write(fresh, name)), True, -1
-        if dirty is None and node.probe is not None and node.probe == plan_probe(rows):
+        if dirty is None and probe is not None and node.probe == probe:
             return None, False, 0
         old = self._raw(name)
         if old.columns != fresh.columns:
@@ -338,7 +340,9 @@ class Engine:
         dirty = None
         for d in moved:
             keys = self._changed(d, node.seen[d])
-            for rows in (null_safe(old[d], keys, self._key(d), "left_semi"), null_safe(new[d], keys, self._key(d), "left_semi")):
+            since = self.nodes[d].steps[self.nodes[d].at[node.seen[d]] :]
+            one = self._read(since[0].rows).drop(*HASHES) if len(since) == 1 and d in self.inputs else new[d]
+            for rows in (null_safe(old[d], keys, self._key(d), "left_semi"), null_safe(one, keys, self._key(d), "left_semi")):
                 # With several inputs moved, either state of the others may link a row to a key.
                 for world in (old, new) if len(moved) > 1 else (new,):
                     found = q.keys_of[d](rows, world).select(*q.key)
@@ -409,11 +413,9 @@ class Engine:
         node.seen = dict(now)
         rest = null_safe(self._table(q.name).select(*q.key).distinct(), log, q.key, "left_anti").withColumn("decision", F.lit("reused"))
         node.log = decisions.unionByName(rest)
+        # All keys that were looked at with their fresh rows: those that came out equal are replaced by themselves.
         changed = sum(v[1] or 0 for v in count.values())
-        step = None
-        if changed:
-            keys = self._cut(log.where("_changed").select(*q.key, "_moved"), f"{q.name}-keys")
-            step = _Step(keys=keys._tw_path, rows=self._write(null_safe(fresh, keys, q.key, "left_semi"), q.name))
+        step = _Step(keys=log._tw_path, rows=fresh._tw_path) if changed else None
         if executed or gone:
             self.revision += 1
             node.decision = "executed"
@@ -568,14 +570,16 @@ class Engine:
     def _write(self, df: DataFrame, name: str) -> str:
         path = f"{self.dir}/{hashlib.sha256(name.encode()).hexdigest()[:16]}-{uuid.uuid4().hex}"
         df.write.parquet(path)
+        self._schemas[path] = df.schema
         return path
 
     def _read(self, path: str) -> DataFrame:
-        return self.spark.read.parquet(path)
+        known = self._schemas.get(path)
+        return self.spark.read.schema(known).parquet(path) if known is not None else self.spark.read.parquet(path)
 
     def _cut(self, df: DataFrame, name: str) -> DataFrame:
         path = self._write(df, name)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = self._read(path)
         out._tw_path = path
         return out
 

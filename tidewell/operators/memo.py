@@ -48,26 +48,22 @@ def hashed(df: DataFrame, compare: list[str] | None = None, key: list[str] | Non
     return df.select("*", *[c.alias(n) for c, n in zip((*both, *some), HASHES)])
 
 
-def keyed(df: DataFrame, key: list[str]) -> DataFrame:
-    """One row a key: the multiset of its rows, as their number and sums of hashes."""
-    return df.groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.col(h).cast("decimal(20,0)")).alias(h) for h in HASHES])
-
-
 def moved_keys(old: DataFrame, new: DataFrame, key: list[str], eq: Callable | None = None, every: bool = False) -> DataFrame:
     """key, _moved of keys whose rows differ between two hashed tables; _moved says whether what counts differs.
 
-    With every, all keys of both, with decision (new, executed, backdated, gone) and _changed (whether any column differs).
-    One exchange of keys and hashes a side.
+    With every, all keys of both, with decision (new, executed, backdated, gone).  One aggregate over both sides, new rows
+    counting plus and old ones minus: a key's rows are the same multiset if nothing is left, and null keys group like others.
+    Rows are combined before the one exchange, of keys and sums only.
     """
-    o, n = keyed(old, key), keyed(new, key)
-    o = o.select(*[F.col(f"`{k}`").alias(f"_ok{i}") for i, k in enumerate(key)], F.struct("_n", "_h1", "_h2").alias("_oa"), F.struct("_n", "_c1", "_c2").alias("_oc"))
-    n = n.select(*[F.col(f"`{k}`").alias(f"_nk{i}") for i, k in enumerate(key)], F.struct("_n", "_h1", "_h2").alias("_na"), F.struct("_n", "_c1", "_c2").alias("_nc"))
-    both = o.join(n, [F.col(f"_ok{i}").eqNullSafe(F.col(f"_nk{i}")) for i in range(len(key))], "full")
-    both = both.select(*[F.when(F.col("_na").isNotNull(), F.col(f"_nk{i}")).otherwise(F.col(f"_ok{i}")).alias(k) for i, k in enumerate(key)], "_oa", "_oc", "_na", "_nc")
-    both = both.withColumn("_changed", ~F.col("_oa").eqNullSafe(F.col("_na"))).withColumn("_moved", ~F.col("_oc").eqNullSafe(F.col("_nc")))
+    sides = [t.select(*[F.col(f"`{k}`") for k in key], *HASHES, F.lit(sign).cast("long").alias("_s")) for t, sign in ((old, -1), (new, 1))]
+    low = lambda h: F.sum(F.col("_s") * F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)))
+    sums = lambda a, b, p: [F.bit_xor(a).alias(p + "x"), low(a).alias(p + "a"), low(b).alias(p + "b")]
+    both = sides[0].unionByName(sides[1]).groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.count(F.when(F.col("_s") < 0, 1)).alias("_old"), F.count(F.when(F.col("_s") > 0, 1)).alias("_new"), *sums("_h1", "_h2", "_h"), *sums("_c1", "_c2", "_c"))
+    differs = lambda p: (F.col("_old") != F.col("_new")) | (F.col(p + "x") != 0) | (F.col(p + "a") != 0) | (F.col(p + "b") != 0)
+    both = both.withColumn("_changed", differs("_h")).withColumn("_moved", differs("_c"))
     if eq is not None:
         both = _by_policy(both, old, new, key, eq)
-    decision = F.when(F.col("_oa").isNull(), "new").when(F.col("_na").isNull(), "gone").when(F.col("_moved"), "executed").otherwise("backdated")
+    decision = F.when(F.col("_old") == 0, "new").when(F.col("_new") == 0, "gone").when(F.col("_moved"), "executed").otherwise("backdated")
     if every:
         return both.select(*key, decision.alias("decision"), "_changed", "_moved")
     return both.where("_changed").select(*key, "_moved")
@@ -81,7 +77,7 @@ def _by_policy(both: DataFrame, old: DataFrame, new: DataFrame, key: list[str],
     same = eq(lambda c: F.col(f"_o_{c}"), lambda c: F.col(f"_n_{c}"))
     alike = pairs.where(same).groupBy(*[F.col(f"_n_{k}").alias(f"_e{i}") for i, k in enumerate(key)]).agg(F.lit(True).alias("_alike"))
     out = both.join(alike, [F.col(k).eqNullSafe(F.col(f"_e{i}")) for i, k in enumerate(key)], "left")
-    single = (F.col("_oa._n") == 1) & (F.col("_na._n") == 1)
+    single = (F.col("_old") == 1) & (F.col("_new") == 1)
     return out.withColumn("_moved", F.col("_moved") & ~F.coalesce(F.col("_alike") & single, F.lit(False))).drop("_alike", *[f"_e{i}" for i in range(len(key))])
 
 
