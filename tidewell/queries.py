@@ -474,21 +474,22 @@ def symbol_at_containment(spark, d):
     return joins.innermost(found, ["line", "at"], "_s", "_e").select(F.col("line").alias("o_orderkey"), "name")
 
 
-_EVENT_BEFORE = "SELECT e.event_id, max(p.event_id) AS since FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id <= e.event_id GROUP BY 1"
+_EVENT_BEFORE = "SELECT e.event_id, coalesce(max(p.event_id), -1) AS since FROM events e LEFT JOIN events p ON p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id <= e.event_id GROUP BY 1"
 
 
 @query(_EVENT_BEFORE)
 def binding_as_of(spark, d):
-    """For every event its user's latest purchase so far."""
+    """For every event its user's latest purchase so far, -1 for none."""
     e = _t(spark, d, "events").select("event_id", "user_id", "event_type")
     right = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("since"))
-    return joins.as_of(e, right, ["user_id"], "event_id", "since", ["since"]).select("event_id", "since")
+    return joins.as_of(e, right, ["user_id"], "event_id", "since", ["since"]).select("event_id", F.coalesce("since", F.lit(-1).cast("long")).alias("since"))
 
 
-@query("SELECT n_regionkey, n_nationkey, count(*) AS n, CASE WHEN n_regionkey IS NULL THEN 3 WHEN n_nationkey IS NULL THEN 1 ELSE 0 END::BIGINT AS level FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_regionkey, n_nationkey)")
+@query("SELECT coalesce(nation.n_regionkey, -1) AS n_regionkey, coalesce(nation.n_nationkey, -1) AS n_nationkey, count(*) AS n, CASE WHEN nation.n_regionkey IS NULL THEN 3 WHEN nation.n_nationkey IS NULL THEN 1 ELSE 0 END::BIGINT AS level FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY ROLLUP (nation.n_regionkey, nation.n_nationkey)")
 def rollup_counts(spark, d):
     j = _t(spark, d, "nation").join(_t(spark, d, "customer"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joins.subtotals(j, ["n_regionkey", "n_nationkey"], F.count(F.lit(1)).alias("n"))
+    out = joins.subtotals(j, ["n_regionkey", "n_nationkey"], F.count(F.lit(1)).alias("n"))
+    return out.select(*[F.coalesce(c, F.lit(-1)).alias(c) for c in ("n_regionkey", "n_nationkey")], "n", "level")
 
 
 @query("SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
