@@ -7,6 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..shipping import ship
+
+
+#: Edges that one task looks through by itself.
+SMALL = 100_000
 
 
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
@@ -44,8 +51,99 @@ _LOCAL: dict[str, str] = {}
 
 
 def cycle_members(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """Nodes that reach themselves."""
-    return closure(edges, depth).where("src = dst").select(F.col("src").alias("node")).distinct()
+    """Nodes that reach themselves; with `depth`, by paths as in closure.
+
+    No pair of nodes is made.  Nodes that nothing leads to or that lead nowhere go, round by round; then each node takes the
+    greatest node that reaches it as its colour, and of a colour those that reach that node are members.  Edges between colours
+    and at members go, and the rest starts again; once it is SMALL, one task looks through it.  Rounds follow the longest path
+    as long as more than SMALL edges are left.
+    """
+    if depth is not None:
+        return closure(edges, depth).where("src = dst").select(F.col("src").alias("node")).distinct()
+    e = table_of(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    found = [e.where("src = dst").select(F.col("src").alias("node"))]
+    e, n = e.where("src <> dst"), -1
+    while (now := e.count()) > SMALL:
+        if now != n:
+            into, out = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
+            e, n = table_of(e.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst")), now
+            continue
+        colour = _colours(e).select("node", "colour")
+        both = e.join(colour.select(F.col("node").alias("src"), "colour"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("_c")), "dst")
+        e = table_of(both.where("colour = _c").select("src", "dst", "colour"))
+        at = reached = table_of(e.where("dst = colour").select(F.col("src").alias("node")).distinct())
+        while not at.isEmpty():
+            before = e.join(at.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
+            at = table_of(before.join(reached, "node", "left_anti"))
+            reached = reached.unionByName(at)
+        reached = table_of(reached)
+        found.append(reached)
+        for c in ("src", "dst"):
+            e = e.join(reached.select(F.col("node").alias(c)), c, "left_anti")
+        e, n = table_of(e.select("src", "dst")), -1
+    if now:
+        ship(e.sparkSession)
+        node = T.StructType([T.StructField("node", e.schema["src"].dataType)])
+        found.append(e.coalesce(1).mapInArrow(_on_cycles, node))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.distinct()
+
+
+def _colours(e: DataFrame) -> DataFrame:
+    """node, colour: the greatest node that reaches it, itself included.  Only nodes whose colour has changed tell it on."""
+    state = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().select("node", F.col("node").alias("colour"), F.lit(True).alias("moved"))
+    state = table_of(state)
+    while not (told := state.where("moved")).isEmpty():
+        offer = told.select(F.col("node").alias("src"), "colour").join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.max("colour").alias("_o"))
+        better = F.coalesce(F.col("_o") > F.col("colour"), F.lit(False))
+        state = table_of(state.join(offer, "node", "left").select("node", F.when(better, F.col("_o")).otherwise(F.col("colour")).alias("colour"), better.alias("moved")))
+    return state
+
+
+def _on_cycles(batches):
+    """The nodes of the edges in all batches that lie on a cycle: Tarjan's components of more than one node, without recursion."""
+    import pyarrow as pa
+
+    after, kind = {}, None
+    for b in batches:
+        kind = b.column(0).type
+        for s, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            after.setdefault(s, []).append(d)
+    number, low, open_, stack, out = {}, {}, set(), [], []
+    for root in after:
+        if root in number:
+            continue
+        walk = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        stack.append(root)
+        open_.add(root)
+        while walk:
+            v, rest = walk[-1]
+            for w in rest:
+                if w not in number:
+                    number[w] = low[w] = len(number)
+                    stack.append(w)
+                    open_.add(w)
+                    walk.append((w, iter(after.get(w, ()))))
+                    break
+                if w in open_:
+                    low[v] = min(low[v], number[w])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == number[v]:
+                    at = len(stack) - 1
+                    while stack[at] != v:
+                        at -= 1
+                    if len(stack) - at > 1:
+                        out += stack[at:]
+                    open_.difference_update(stack[at:])
+                    del stack[at:]
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(out, kind)], ["node"])
 
 
 def labels(edges: DataFrame) -> DataFrame:

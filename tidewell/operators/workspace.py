@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.documents import module_names
-from .graph import closure, table_of
+from .graph import cycle_members, table_of
 from .joins import first_wins, innermost, range_join
 
 HOPS = 8
@@ -355,4 +355,4 @@ def reexports(facts: DataFrame, index: DataFrame, resolved: DataFrame) -> DataFr
 def import_cycles(resolved: DataFrame, index: DataFrame) -> DataFrame:
     """Modules that import themselves by way of others."""
     edges = resolved.where("resolved_path is not null").join(index.select("path", "module"), "path").join(index.select(F.col("path").alias("resolved_path"), F.col("module").alias("dst")), "resolved_path").select(F.col("module").alias("src"), "dst").distinct()
-    return closure(edges).where("src = dst").select(F.col("src").alias("module")).distinct()
+    return cycle_members(edges).withColumnRenamed("node", "module")
