@@ -10,26 +10,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..shipping import ship
+from .memo import null_safe
 
 
-#: Edges that one task looks through by itself.
-SMALL = 100_000
+#: Rows of a table that a join sends to every task, and edges that one task looks through by itself.
+SENT, SMALL = 500_000, 100_000
 
 
 def closure(edges: DataFrame, depth: int | None = None) -> DataFrame:
-    """src, dst for every path: squaring until no pair is added, so rounds are logarithmic in the longest path.  With `depth`, stops
+    """src, dst for every path: doubling until no pair is added, so rounds are logarithmic in the longest path.  With `depth`, stops
     once paths of so many edges are in.  Each round is a table in the shared folder, so plans don't grow and a lost executor
-    costs nothing."""
-    reach, hops = table_of(edges.select("src", "dst").distinct()), 1
-    size = reach.count()
+    costs nothing.
+
+    A pair is found once, with the length of its shortest path: a shortest path longer than `hops` edges begins with one of
+    just `hops`, so only the pairs of that length go on, and they meet only the pairs that start where they end.
+    """
+    reach = fresh = table_of(edges.select("src", "dst").distinct().withColumn("_d", F.lit(1)))
+    hops = 1
     while depth is None or hops < depth:
-        step = reach.select(F.col("src").alias("_s"), F.col("dst").alias("src")).join(reach, "src").select(F.col("_s").alias("src"), "dst")
-        reach = table_of(reach.unionByName(step).distinct())
-        now = reach.count()
-        if now == size:
+        first = fresh.where(F.col("_d") == hops).select(F.col("src").alias("_s"), F.col("dst").alias("src"))
+        ahead, n = _sent(reach.join(_sent(first.select("src").distinct())[0], "src", "left_semi"))
+        if not n:
             break
-        size, hops = now, hops * 2
-    return reach
+        step = first.join(ahead, "src").groupBy(F.col("_s").alias("src"), "dst").agg((F.min("_d") + hops).alias("_d"))
+        ends = reach if n > SENT else _sent(reach.join(_sent(ahead.select("dst").distinct())[0], "dst", "left_semi"))[0]
+        fresh = table_of(null_safe(step, ends, ["src", "dst"], "left_anti"))
+        reach, hops = reach.unionByName(fresh), hops * 2
+    return reach.select("src", "dst")
+
+
+def _sent(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as a table, to be broadcast where it is small, and its number of rows."""
+    df = table_of(df)
+    n = df.count()
+    return F.broadcast(df) if n <= SENT else df, n
 
 
 def table_of(df: DataFrame) -> DataFrame:
