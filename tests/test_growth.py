@@ -1,6 +1,6 @@
 """Steps whose work grew faster than their input before."""
 
-from tidewell.operators import graph
+from tidewell.operators import graph, packages
 
 
 def test_closure_writes_a_pair_once(spark, monkeypatch):
@@ -24,3 +24,13 @@ def test_closure_writes_a_pair_once(spark, monkeypatch):
     monkeypatch.setattr(graph, "SENT", 0)
     again = [tuple(r) for r in graph.closure(edges).collect()]
     assert len(again) == len(want) and set(again) == want
+
+
+def test_last_definitions_without_a_sort_of_all_lines(spark):
+    rows = [("a", 1, "x", "a1"), ("a", 9, "x", "a9"), ("b", 2, "x", "b2"), ("b", None, "x", "b-"), ("a", 5, None, "n5"), ("b", 3, None, "n3"), ("b", None, "y", "y-"), ("root", None, "z", "z-"), ("root", 4, "z", "z4"), ("other", 99, "x", "o"), ("a", 7, "t", "t7"), ("a", 7, "t", "t7")]
+    lines = spark.createDataFrame(rows, "path string, number long, name string, v string")
+    includes = spark.createDataFrame([("root", 0, "b"), ("root", 1, "a"), ("a", 0, "b")], "path string, number long, target string")
+    out = packages.last_wins(lines, packages.include_closure(includes, "root"))
+    assert out.columns == lines.columns
+    assert sorted((str(r.name), r.v) for r in out.collect()) == [("None", "n5"), ("t", "t7"), ("x", "a9"), ("y", "y-"), ("z", "z4")]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()

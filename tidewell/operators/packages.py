@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.documents import analyze
 from ..functions.versions import normalize_name
 from ..shipping import ship
+from .graph import table_of
 from .joins import first_wins
 
 DIST_INFO = r"^([^/]+)-([^/-]+)\.dist-info/"
@@ -159,12 +160,17 @@ def include_closure(includes: DataFrame, root: str, depth: int = 64) -> DataFram
 
 
 def last_wins(requirements: DataFrame, closure: DataFrame) -> DataFrame:
-    """One row a name: of all definitions (path, number, name, ...) in reading order, the last."""
-    from pyspark.sql import Window
+    """One row a name: of all definitions (path, number, name, ...) in reading order, the last.
 
-    read = closure.where("state = 'ok'").select("path", "order")
-    w = Window.partitionBy("name").orderBy(F.col("order").desc(), F.col("number").desc())
-    return requirements.join(read, "path").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "order")
+    The last number of a name in each file is a hash aggregate, so a task holds names and files, not their lines; the place in
+    reading order is looked up for these only, and the winners are joined back to their rows.
+    """
+    read = closure.where("state = 'ok'").groupBy("path").agg(F.max("order").alias("order"))
+    lines = requirements.select("path", "number", "name").groupBy("path", "name").agg(F.max("number").alias("number"))
+    last = lines.join(read, "path").groupBy("name").agg(F.max(F.struct("order", "number", "path")).alias("_l"))
+    won = table_of(last.select(F.col("name").alias("_n"), F.col("_l.path").alias("_p"), F.col("_l.number").alias("_i")))
+    on = (F.col("path") == F.col("_p")) & F.col("name").eqNullSafe(F.col("_n")) & F.col("number").eqNullSafe(F.col("_i"))
+    return requirements.join(won, on).drop("_n", "_p", "_i").dropDuplicates(["name"])
 
 
 def applicable(requirements: DataFrame, installed_versions: DataFrame, environment: dict[str, str]) -> DataFrame:
