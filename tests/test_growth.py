@@ -1,5 +1,6 @@
 """Steps whose work grew faster than their input before."""
 
+from tidewell.functions import calc
 from tidewell.operators import graph, packages
 
 
@@ -34,3 +35,19 @@ def test_last_definitions_without_a_sort_of_all_lines(spark):
     assert out.columns == lines.columns
     assert sorted((str(r.name), r.v) for r in out.collect()) == [("None", "n5"), ("t", "t7"), ("x", "a9"), ("y", "y-"), ("z", "z4")]
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cycles_are_looked_for_among_open_bindings(spark, monkeypatch):
+    asked, members = [], calc.cycle_members
+
+    def cycle_members(edges):
+        asked.extend((r.src, r.dst) for r in edges.collect())
+        return members(edges)
+
+    monkeypatch.setattr(calc, "cycle_members", cycle_members)
+    chain = [("v0", "1")] + [(f"v{i}", f"v{i - 1} + {i} - v0") for i in range(1, 8)]
+    rows = [*chain, ("a", "b + 1"), ("b", "a + v7"), ("c", "a + missing"), ("d", "d"), ("e", "v3 + v3 - 2"), (None, "4"), ("empty", None)]
+    got = {r.name: (r.value, r.problem) for r in calc.evaluate(spark.createDataFrame(rows, "name string, expression string")).collect()}
+    want = {f"v{i}": (1 + i * (i + 1) // 2 - i, None) for i in range(8)}
+    assert got == want | {"a": (None, "cycle"), "b": (None, "cycle"), "c": (None, "unresolved"), "d": (None, "cycle"), "e": (2 * want["v3"][0] - 2, None), None: (None, "unresolved"), "empty": (None, "unresolved")}
+    assert set(asked) == {("a", "b"), ("b", "a"), ("c", "a"), ("c", "missing"), ("d", "d")}

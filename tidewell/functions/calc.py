@@ -60,24 +60,39 @@ def cycles(table: DataFrame) -> DataFrame:
 
 def evaluate(table: DataFrame, depth: int = 1_000_000) -> DataFrame:
     """name, value, problem of every binding.  Names whose terms are all known get their value, round by round; what is left when no name
-    is added refers to a cycle or to a missing name."""
+    is added refers to a cycle or to a missing name.
+
+    A round takes only the names found in the one before to the references that are still open; cycles are looked for among
+    what is left open at the end.
+    """
     t = table_of(terms(table))
-    names = table.select("name")
-    known = names.limit(0).withColumn("value", F.lit(None).cast("long"))
-    size = 0
-    for _ in range(depth):
-        j = t.join(known.select(F.col("name").alias("ref"), F.col("value").alias("_v")), "ref", "left").withColumn("_x", F.coalesce("value", "_v"))
-        known = j.groupBy("name").agg(F.sum(F.col("sign") * F.col("_x")).alias("value"), F.count(F.when(F.col("_x").isNull(), 1)).alias("_open")).where("_open = 0").select("name", "value")
-        known = table_of(known)
-        now = known.count()
-        if now == size:
+    refs = t.where("ref is not null").select("name", "sign", "ref")
+    state = table_of(t.groupBy("name").agg(F.coalesce(F.sum(F.col("sign") * F.col("value")), F.lit(0)).alias("value"), F.count("ref").alias("open")))
+    known = [state.where("open = 0").select("name", "value")]
+    for _ in range(depth - 1):
+        fresh, left = state.agg(F.count(F.when(F.col("open") == 0, 1)), F.count(F.when(F.col("open") > 0, 1))).first()
+        if not fresh or not left:
             break
-        size = now
-    ring = cycles(table).withColumn("_ring", F.lit("cycle"))
-    out = names.join(known, "name", "left").join(ring, "name", "left")
+        met = table_of(refs.join(state.where("open = 0").select(F.col("name").alias("ref"), F.col("value").alias("_v")), "ref", "left"))
+        hits = met.where("_v is not null").groupBy("name").agg(F.sum(F.col("sign") * F.col("_v")).alias("_add"), F.count(F.lit(1)).alias("_met"))
+        refs = met.where("_v is null").select("name", "sign", "ref")
+        more = state.where("open > 0").join(hits, "name", "left")
+        state = table_of(more.select("name", (F.col("value") + F.coalesce("_add", F.lit(0))).alias("value"), (F.col("open") - F.coalesce("_met", F.lit(0))).alias("open")))
+        known.append(state.where("open = 0").select("name", "value"))
+        if len(known) == 32:
+            known = [table_of(_union(known))]
+    ring = cycle_members(refs.select(F.col("name").alias("src"), F.col("ref").alias("dst"))).select(F.col("node").alias("name"), F.lit("cycle").alias("_ring"))
+    out = table.select("name").join(_union(known), "name", "left").join(ring, "name", "left")
     return out.select("name", "value", F.when(F.col("value").isNull(), F.coalesce("_ring", F.lit("unresolved"))).alias("problem"))
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    every = tables[0]
+    for more in tables[1:]:
+        every = every.unionByName(more)
+    return every
+
+
 def emitted(parsed: DataFrame, root: str) -> DataFrame:
     """path, content of the outputs: one text a name that root emits."""
     values = evaluate(bindings(parsed, root))
