@@ -1,7 +1,7 @@
 """Steps whose work grew faster than their input before."""
 
 from tidewell.functions import calc
-from tidewell.operators import graph, packages
+from tidewell.operators import graph, memo, packages
 
 
 def test_closure_writes_a_pair_once(spark, monkeypatch):
@@ -51,3 +51,15 @@ def test_cycles_are_looked_for_among_open_bindings(spark, monkeypatch):
     want = {f"v{i}": (1 + i * (i + 1) // 2 - i, None) for i in range(8)}
     assert got == want | {"a": (None, "cycle"), "b": (None, "cycle"), "c": (None, "unresolved"), "d": (None, "cycle"), "e": (2 * want["v3"][0] - 2, None), None: (None, "unresolved"), "empty": (None, "unresolved")}
     assert set(asked) == {("a", "b"), ("b", "a"), ("c", "a"), ("c", "missing"), ("d", "d")}
+
+
+def test_hashes_are_kept_and_summed_once(spark):
+    old = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (None, "n"), (4, "d")], "k long, v string")
+    new = spark.createDataFrame([(1, "a"), (2, "c"), (None, "m"), (4, "d"), (5, "e")], "k long, v string")
+    o, n = memo.hashed(old), memo.hashed(new)
+    assert o.columns == ["k", "v", *memo.HASHES[:2]]
+    moved = memo.moved_keys(o, n, ["k"])
+    assert {(r.k, r._moved) for r in moved.collect()} == {(1, True), (2, True), (None, True), (5, True)}
+    assert moved._jdf.queryExecution().optimizedPlan().toString().count("bit_xor") == 1
+    apart = memo.moved_keys(memo.hashed(old, [], ["k"]), memo.hashed(new, [], ["k"]), ["k"])  # only the key counts
+    assert {(r.k, r._moved) for r in apart.collect()} == {(1, True), (2, False), (None, False), (5, True)}

@@ -340,6 +340,11 @@ class Engine:
         dirty = None
         for d in moved:
             keys = self._changed(d, node.seen[d])
+            if set(q.key) <= set(self._key(d)) and q.keys_of[d](new[d], new) is new[d]:
+                # A row influences the key it carries, which the changed keys name already.
+                found = keys.select(*q.key)
+                dirty = found if dirty is None else dirty.unionByName(found)
+                continue
             since = self.nodes[d].steps[self.nodes[d].at[node.seen[d]] :]
             one = self._read(since[0].rows).drop(*HASHES) if len(since) == 1 and d in self.inputs else new[d]
             for rows in (null_safe(old[d], keys, self._key(d), "left_semi"), null_safe(one, keys, self._key(d), "left_semi")):

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.canon import row_digest, tagged
 
 DIGEST = "_digest"
-#: Hash columns of stored rows: two over all columns, two over those whose change counts.
+#: Hash columns of stored rows: two over all columns, two over those whose change counts; the latter only where these are fewer.
 HASHES = ("_h1", "_h2", "_c1", "_c2")
 
 
@@ -42,9 +42,9 @@ def _hashes(df: DataFrame, columns: list[str]) -> list[Column]:
 
 
 def hashed(df: DataFrame, compare: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
-    """df with HASHES; `compare` (with `key`) names the columns whose change counts, default all."""
+    """df with HASHES; `compare` (with `key`) names the columns whose change counts, default all: then the first two do for both."""
     both = _hashes(df, df.columns)
-    some = _hashes(df, [*(key or []), *compare]) if compare is not None else both
+    some = _hashes(df, [*(key or []), *compare]) if compare is not None else []
     return df.select("*", *[c.alias(n) for c, n in zip((*both, *some), HASHES)])
 
 
@@ -55,12 +55,13 @@ def moved_keys(old: DataFrame, new: DataFrame, key: list[str], eq: Callable | No
     counting plus and old ones minus: a key's rows are the same multiset if nothing is left, and null keys group like others.
     Rows are combined before the one exchange, of keys and sums only.
     """
-    sides = [t.select(*[F.col(f"`{k}`") for k in key], *HASHES, F.lit(sign).cast("long").alias("_s")) for t, sign in ((old, -1), (new, 1))]
+    apart = set(HASHES) <= set(old.columns) & set(new.columns)
+    sides = [t.select(*[F.col(f"`{k}`") for k in key], *(HASHES if apart else HASHES[:2]), F.lit(sign).cast("long").alias("_s")) for t, sign in ((old, -1), (new, 1))]
     low = lambda h: F.sum(F.col("_s") * F.col(h).bitwiseAND(F.lit(0xFFFFFFFF)))
     sums = lambda a, b, p: [F.bit_xor(a).alias(p + "x"), low(a).alias(p + "a"), low(b).alias(p + "b")]
-    both = sides[0].unionByName(sides[1]).groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.count(F.when(F.col("_s") < 0, 1)).alias("_old"), F.count(F.when(F.col("_s") > 0, 1)).alias("_new"), *sums("_h1", "_h2", "_h"), *sums("_c1", "_c2", "_c"))
+    both = sides[0].unionByName(sides[1]).groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.count(F.when(F.col("_s") < 0, 1)).alias("_old"), F.count(F.when(F.col("_s") > 0, 1)).alias("_new"), *sums("_h1", "_h2", "_h"), *(sums("_c1", "_c2", "_c") if apart else []))
     differs = lambda p: (F.col("_old") != F.col("_new")) | (F.col(p + "x") != 0) | (F.col(p + "a") != 0) | (F.col(p + "b") != 0)
-    both = both.withColumn("_changed", differs("_h")).withColumn("_moved", differs("_c"))
+    both = both.withColumn("_changed", differs("_h")).withColumn("_moved", differs("_c") if apart else F.col("_changed"))
     if eq is not None:
         both = _by_policy(both, old, new, key, eq)
     decision = F.when(F.col("_old") == 0, "new").when(F.col("_new") == 0, "gone").when(F.col("_moved"), "executed").otherwise("backdated")
